@@ -45,18 +45,8 @@ def expected(docs: DataFrame, source: Column, weights: dict[str, float] | None,
     )
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
-    total: float | None = None, flatten: float = FLATTEN, seed: int = SEED, copies_col: str | None = None,
-) -> DataFrame:
-    """Every column of docs and `copies`: how often each row is to be emitted, 0 included.
-
-    The target shares are `weights` (a source that it lacks gets 0), or without them the sources' sizes to the power
-    `flatten`; `total` is the expected number of copies, by default the number of rows. `copies_col` gives expected
-    copies for each row instead (null or negative: 0). A source is summed in the order of a bucket of the id, then the
-    id, nulls first; rows that share an id follow each other. Null is a source like any other. Other columns are kept
-    even where their names are used here; `copies` is then the last of that name. An empty table gives none.
-    """
+def counted(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None, total: float | None, flatten: float, seed: int, copies_col: str | None) -> DataFrame:
+    """(__row, __n): every row packed, and how often it is to be emitted."""
     row = docs.select(F.struct(*every(docs)).alias("__row"), col(id_col).cast("long").alias("__id"), col(source_col).alias("__s"))
     plan = expected(docs, col(source_col), weights, total, flatten).withColumnRenamed("__s", "__t")
     if copies_col is not None:
@@ -72,7 +62,31 @@ def mix(
     summed = known.withColumn("__here", F.sum("__e").over(within))
     summed = summed.join(runs, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__k") == F.col("__j")))
     summed = summed.withColumn("__end", F.col("__base") + F.col("__here") + offset(F.col("__s"), seed))
-    return summed.select("__row.*", F.expr(f"__end div {UNIT} - (__end - __e) div {UNIT}").alias("copies"))
+    return summed.select("__row", F.expr(f"__end div {UNIT} - (__end - __e) div {UNIT}").cast("int").alias("__n"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None,
+    total: float | None = None, flatten: float = FLATTEN, seed: int = SEED, copies_col: str | None = None,
+) -> DataFrame:
+    """The rows of docs, each as often as systematic sampling emits it, columns as they are.
+
+    The target shares are `weights` (a source that it lacks gets 0), or without them the sources' sizes to the power
+    `flatten`; `total` is the expected number of rows, by default as many as there are. `copies_col` gives expected
+    copies for each row instead (null or negative: 0). A source is summed in the order of a bucket of the id, then the
+    id, nulls first; rows that share an id follow each other. Null is a source like any other. An empty table gives none.
+    """
+    got = counted(docs, id_col, source_col, weights, total, flatten, seed, copies_col)
+    return got.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select("__row.*")
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """(id, source, copy_no) for every copy that mix() emits of a row, numbered from 1."""
+    o = {"weights": None, "total": None, "flatten": FLATTEN, "seed": SEED, "copies_col": None} | options
+    slim = docs.select(col(id_col), col(source_col), *([] if o["copies_col"] is None else [col(o["copies_col"])]))
+    got = counted(slim, id_col, source_col, **o)
+    one = got.select("__row", F.posexplode(F.array_repeat(F.lit(0), F.col("__n"))).alias("__p", "__x"))
+    return one.select(F.col("__row").getField(id_col).alias(id_col), F.col("__row").getField(source_col).alias(source_col), (F.col("__p") + 1).cast("long").alias("copy_no"))
 
 
 def few(docs: DataFrame, source_col: str, most: int = 100_000) -> bool:
@@ -82,14 +96,7 @@ def few(docs: DataFrame, source_col: str, most: int = 100_000) -> bool:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every emitted copy of a document, numbered from 1, at the sources' flattened sizes."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source")
-    return emit(mix(docs)).select("doc_id", "source", "copy_no")
-
-
-def emit(mixed: DataFrame) -> DataFrame:
-    """One row for each copy, numbered in copy_no; rows of no copies go. copies must be the only column of that name."""
-    some = mixed.where(F.col("copies") > 0)
-    return some.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    return numbered(load(spark, sf_dir, "documents"))
 
 
 SQL = f"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import col, load, settle, tune
 
 #: Neighbours of each vector; the factor; vectors in a shard, in a leaf and in a block of queries; slack for rounding.
-K, FACTOR, SHARD, LEAF, BLOCK, EPS = 10, 1.5, 8192, 128, 65_536, 1e-9
+K, FACTOR, SHARD, LEAF, BLOCK, EPS = 10, 4.0, 8192, 128, 65_536, 1e-9
 
 
 def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:

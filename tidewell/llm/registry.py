@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, mixing, quality, warc
+from . import bpe, chat, fingerprints, mixing, neighbours, pii, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_quality": quality.query,
+    "op3_neighbours": neighbours.query,
+    "op4_pii": pii.query,
     "op5_mixing": mixing.query,
     "op6_bpe": bpe.query,
     "op7_chat": chat.query,
     "op8_revisits": warc.query,
+    "op9_near_duplicates": simhash.query,
+    "op10_toxicity": toxicity.query,
 }
 SQL = {
     "op1_fingerprints": fingerprints.SQL,
