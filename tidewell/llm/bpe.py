@@ -13,8 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import col, load, slices, texts, tune
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Bytes of text that are encoded at once, and from which a long text is cut where no token can cross.
-BATCH, PIECE = 1_000_000, 200_000
+#: Bytes of text that are encoded at once; distinct pieces of text whose ids a worker remembers.
+BATCH, REMEMBERED = 8_000_000, 400_000
+#: Bytes that can't begin white space.
+SOLID = np.zeros(256, bool)
+SOLID[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 def byte_of_char() -> dict[str, int]:
@@ -69,20 +74,60 @@ def loaded(path: str, what: str):
     return _loaded[path, what]
 
 
-def pieces(text: str) -> list[str]:
-    """A long text cut before single spaces between visible characters, where a token always begins."""
-    if len(text) <= PIECE:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > PIECE:
-        i = at + PIECE
-        while (i := text.find(" ", i)) > 0 and i + 1 < len(text) and (text[i - 1].isspace() or text[i + 1].isspace()):
-            i += 1
-        if i < 0 or i + 1 >= len(text):
-            break
-        out.append(text[at:i])
-        at = i
-    return [*out, text[at:]]
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Where bytes of text can be cut with no token across: True at a piece's first byte.
+
+    That is before a space that a visible character follows, around a line break between visible characters, and before
+    . or , after a letter. The rule that splits text before the merges ends a match at each of these, and begins one.
+    """
+    out = np.zeros(len(raw), bool)
+    if len(raw) < 3:
+        return out
+    solid, letter = SOLID[raw], LETTER[raw]
+    out[1:-1] = (raw[1:-1] == 32) & solid[2:]
+    line = (raw[1:-1] == 10) & solid[2:] & (solid[:-2] & (raw[:-2] < 128))
+    out[1:-1] |= line
+    out[2:] |= line
+    out[1:] |= ((raw[1:] == 46) | (raw[1:] == 44)) & letter[:-1]
+    return out
+
+
+class Encoder:
+    """Encodes pieces of text; each distinct piece goes through the tokenizer once for as long as it is remembered."""
+
+    def __init__(self, path: str):
+        self.tok, self.table, self.known = loaded(path, "tokenizer"), loaded(path, "table"), {}
+
+    def of(self, names: list[str]) -> list[np.ndarray]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        fresh = [w for w in names if w not in self.known]
+        for i in range(0, len(fresh), 20_000):
+            part = fresh[i : i + 20_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, np.int32)
+        return [self.known[w] for w in names]
+
+    def encode(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts, how many each text has, the texts' bytes and where each text begins in them."""
+        off = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
+        raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+        off = off - off[0]
+        first = cuts(raw)
+        first[off[:-1][off[:-1] < len(raw)]] = True
+        start = np.flatnonzero(first)
+        ends = np.append(start, len(raw)).astype(np.int64)
+        parts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw)))
+        d = parts.dictionary_encode()
+        code = np.asarray(d.indices)
+        own = self.of(d.dictionary.to_pylist())
+        size = np.array([len(x) for x in own], np.int64)
+        store = np.concatenate(own) if own else np.zeros(0, np.int32)
+        per = size[code]
+        end = np.cumsum(per)
+        ids = store[np.repeat((np.cumsum(size) - size)[code] - (end - per), per) + np.arange(int(end[-1]) if len(end) else 0)]
+        owner = np.searchsorted(off, start, side="right") - 1
+        return ids, np.bincount(owner, weights=per, minlength=len(values)).astype(np.int64), raw, off
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -99,34 +144,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", whole), ("starts", whole), ("ends", whole), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, table = loaded(tokenizer, "tokenizer"), loaded(tokenizer, "table")
+        encoder = Encoder(tokenizer)
+        table = encoder.table
         for b in slices(batches, "text", BATCH):
             t = texts(b, "text")
             null = np.asarray(t.is_null())
-            values = t.fill_null("")
-            cut = [pieces(s) for s in values.to_pylist()]
-            got = tok.encode_batch_fast([p for c in cut for p in c], add_special_tokens=False)
-            each = [e.ids for e in got]
-            ids = np.concatenate([np.array(x, np.int32) for x in each]) if each else np.zeros(0, np.int32)
-            del got
-            per = np.array([len(x) for x in each], np.int64)
-            owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-            n = np.bincount(owner, weights=per, minlength=len(cut)).astype(np.int64)
+            ids, n, raw, text_off = encoder.encode(t.fill_null(""))
             off = np.concatenate([[0], np.cumsum(n)])
             data, size = table.bytes_of(ids)
             ends = np.cumsum(size)
             doc_end = np.concatenate([[0], ends])[off]
-            text_off = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
-            raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[text_off[0] : text_off[-1]]
             # which character each byte belongs to, counted from the batch's first
             char = np.cumsum((raw & 0xC0) != 0x80) if len(raw) == len(data) else np.zeros(len(data), np.int64)
-            base = np.repeat(np.concatenate([[0], char])[doc_end[:-1]] if len(data) else np.zeros(len(cut), np.int64), n)
+            base = np.repeat(np.concatenate([[0], char])[doc_end[:-1]] if len(data) else np.zeros(len(n), np.int64), n)
             first = (char[ends - size] - 1 - base).astype(np.int32) if len(ids) else ids
             last = (char[ends - 1] - base).astype(np.int32) if len(ids) else ids
-            same = np.array([len(raw) == len(data)] * len(cut))
+            same = np.array([len(raw) == len(data)] * len(n))
             if len(raw) == len(data):
                 wrong = np.flatnonzero(raw != data)
-                same[np.searchsorted(text_off[1:] - text_off[0], wrong, side="right")] = False
+                same[np.searchsorted(text_off[1:], wrong, side="right")] = False
             mask = pa.array(null)
             lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x, pa.int32()), mask=mask) for x in (ids, first, last)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], schema=out)
