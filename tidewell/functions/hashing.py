@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,30 +16,40 @@ def difference_bits(cells: Column, width: int = 9) -> Column:
     """64 bits of an 8-row grid: a bit is set where a cell exceeds its right neighbour, the first cell's bit on top."""
     per = width - 1
 
-    def step(acc: Column, i: Column) -> Column:
-        at = F.floor(i / per).cast("int") * width + i % per
-        return F.shiftleft(acc, 1).bitwiseOR(F.when(F.get(cells, at) > F.get(cells, at + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    def bits(grid: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            at = F.floor(i / per).cast("int") * width + i % per
+            return F.shiftleft(acc, 1).bitwiseOR(F.when(F.get(grid, at) > F.get(grid, at + 1), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), step)
+
+    return once(cells, bits)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), step)
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed a single time, however often a lambda inside looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def row_bits(values: Column, wrap: bool = False) -> Column:
     """64 bits of a row of values: bit i is set where value i exceeds the next; with wrap the last meets the first."""
 
-    def step(acc: Column, i: Column) -> Column:
-        nxt = (i + 1) % 64 if wrap else i + 1
-        return F.shiftleft(acc, 1).bitwiseOR(F.when(F.get(values, i) > F.get(values, nxt), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    def bits(v: Column) -> Column:
+        nxt = F.concat(F.slice(v, 2, 63), F.slice(v, 1, 1)) if wrap else F.slice(v, 2, 64)
+        more = F.zip_with(F.slice(v, 1, 64), nxt, lambda a, b: F.when(a > b, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(more, F.lit(0).cast("long"), lambda acc, bit: F.shiftleft(acc, 1).bitwiseOR(bit))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), step)
+    return once(values, bits)
 
 
 def vowel_profile(text: Column) -> Column:
     """65 counts of vowels in even slices of a text, the stand-in for an image's row of brightness."""
-    n = F.length(text)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(64)),
-        lambda i: F.length(F.regexp_replace(F.substr(text, (F.lit(1) + F.floor(i * n / 65)).cast("int"), F.greatest(F.lit(1), F.floor(n / 65).cast("int"))), "[^aeiou]", "")),
-    )
+
+    def count(t: Column, n: Column, i: Column) -> Column:
+        part = F.substr(t, (F.lit(1) + F.floor(i * n / 65)).cast("int"), F.greatest(F.lit(1), F.floor(n / 65).cast("int")))
+        return F.length(part) - F.length(F.translate(part, "aeiou", ""))
+
+    return once(F.struct(text.alias("t"), F.length(text).alias("n")), lambda x: F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: count(x["t"], x["n"], i)))
 
 
 def hamming(a: Column, b: Column) -> Column:

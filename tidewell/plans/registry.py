@@ -357,9 +357,9 @@ SELECT vec_id, {_hex("h")} AS dhash FROM b
 """,
     "after_dedup_counts": f"WITH RECURSIVE {_IMAGES}, {_exact(False)}, e AS (SELECT * FROM i WHERE k = 1), {_near('e')} SELECT subset, count(*) AS n FROM near WHERE k = 1 GROUP BY subset",
     "main_class": f"""
-WITH p AS (SELECT l_orderkey, l_suppkey % {CLASSES} AS cls, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS at FROM lineitem),
-n AS (SELECT l_orderkey, cls, count(*) AS n, min(at) AS first FROM p GROUP BY l_orderkey, cls),
-k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first) AS k FROM n)
+WITH p AS (SELECT l_orderkey, l_suppkey % {CLASSES} AS cls, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS place FROM lineitem),
+n AS (SELECT l_orderkey, cls, count(*) AS n, min(place) AS early FROM p GROUP BY l_orderkey, cls),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, early) AS k FROM n)
 SELECT o_orderkey, coalesce(cls, -1) AS cls FROM orders LEFT JOIN k ON o_orderkey = l_orderkey AND k = 1
 """,
     "class_quota": f"WITH c AS ({_DOC_CLASS}), counts AS (SELECT subset, cls, count(*) AS n FROM c GROUP BY subset, cls), {_quota('counts', TARGETS)} SELECT * FROM quota",
