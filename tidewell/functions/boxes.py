@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A line of a label file: a class and four plain numbers.
 LINE = r"^\s*(\d+)\s+([0-9]*\.?[0-9]+)\s+([0-9]*\.?[0-9]+)\s+([0-9]*\.?[0-9]+)\s+([0-9]*\.?[0-9]+)\s*$"
@@ -38,7 +39,7 @@ def main_class(lines: Column) -> Column:
     return F.coalesce(F.array_max(counted)["c"], F.lit(-1).cast("bigint"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def six(x: pd.Series) -> pd.Series:
     """Six decimals, halves as the binary value has it."""
     return x.map(lambda v: None if v is None or v != v else f"{v:.6f}")

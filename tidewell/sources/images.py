@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import difference_bits
 
@@ -116,7 +117,11 @@ def grid(px: np.ndarray, width: int = 9, height: int = 8) -> np.ndarray:
     return px
 
 
-@F.pandas_udf("w int, h int, grid array<int>, status string")
+#: A type that needs no session, so that the module can be imported before there is one.
+MEASURED = T.StructType().add("w", "integer").add("h", "integer").add("grid", T.ArrayType(T.IntegerType())).add("status", "string")
+
+
+@F.pandas_udf(MEASURED)
 def _measured(content: pd.Series) -> pd.DataFrame:
     rows = []
     for data in content:
