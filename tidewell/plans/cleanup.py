@@ -17,6 +17,7 @@ from ..functions.paths import label_path
 from ..operators import dedup, sampling
 from ..sources.files import read_labels, read_tree
 from ..sources.images import with_metadata
+from ..sources.scratch import settle
 
 
 @dataclass
@@ -73,13 +74,15 @@ def plan(images: DataFrame, subsets: list[str], targets: dict[str, int | None] |
     if len(set(subsets)) < len(subsets):
         raise ValueError("a split is named twice")
     targets = targets or {}
-    exact, near, rest = dedup.deduplicate(images, threshold, across)
-    counts = rest.groupBy("subset", "cls").agg(F.count(F.lit(1)).alias("n"))
-    quota = sampling.quotas(counts, targets)
-    drawn = sampling.sample(rest, quota, "key", seed)
-    after_exact = images.join(exact.select("image"), "image", "left_anti")
-    near_groups = dedup.clusters(after_exact, threshold, across).select("scope", "cluster").distinct()
-    return Plan(images, subsets, targets, exact, near, drawn.where(~F.col("kept")), quota, dedup.exact_groups(images, across), near_groups)
+    name = ["subset", "image", "label"]
+    # each kind of removal is written once: the counts and the moves read those small tables
+    exact = settle(dedup.exact_removed(images, across).select(*name, "scope", "keep"))
+    unique = images.join(exact.select("image"), "image", "left_anti")
+    near = settle(dedup.near_members(unique, threshold, across).where(F.col("image") != F.col("keep")).select(*name, "scope", "keep"))
+    rest = unique.join(near.select("image"), "image", "left_anti")
+    quota = sampling.quotas(rest.groupBy("subset", "cls").agg(F.count(F.lit(1)).alias("n")), targets)
+    sampled = settle(sampling.sample(rest, quota, "key", seed).where(~F.col("kept")).select(*name))
+    return Plan(images, subsets, targets, exact, near, sampled, quota, exact.select("scope", "keep").distinct(), near.select("scope", "keep").distinct())
 
 
 def scan(spark: SparkSession, root: str, subsets: list[str], layout: str = "auto", undecodable: str = "cluster") -> DataFrame:
@@ -87,7 +90,7 @@ def scan(spark: SparkSession, root: str, subsets: list[str], layout: str = "auto
     files = with_metadata(read_tree(spark, root, subsets, layout), undecodable)
     home = F.concat(F.lit(root.rstrip("/") + "/"), F.col("subset"))
     images = files.withColumnRenamed("path", "image").withColumn("label", label_path(F.col("image"), home))
-    lines = read_labels(spark, root, subsets).select(F.col("path").alias("label"), main_class(F.split(F.decode("content", F.lit("UTF-8")), r"\R")).alias("cls"))
+    lines = read_labels(spark, root, subsets).select(F.col("path").alias("label"), main_class(F.split(F.col("content").cast("string"), r"\R")).alias("cls"))
     found = images.join(lines, "label", "left").withColumn("cls", F.coalesce("cls", F.lit(-1).cast("long")))
     return found.withColumn("key", F.substr(F.col("image"), F.lit(len(root.rstrip("/")) + 2)))
 
