@@ -475,11 +475,12 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
     field = field_of(examples)
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else None
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be handed to a worker
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(field)
-        for b in slices(batches, text_col, 4_000_000):
-            values = texts(b, text_col)
+        for b in slices(batches, f"c{at}", 4_000_000):
+            values = texts(b, f"c{at}")
             text, _ = masked(values.fill_null(""), tagger)
             if text:
                 columns = list(b.columns)
@@ -491,7 +492,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars
                 b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
