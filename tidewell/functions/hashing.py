@@ -43,13 +43,17 @@ def row_bits(values: Column, wrap: bool = False) -> Column:
 
 
 def vowel_profile(text: Column) -> Column:
-    """65 counts of vowels in even slices of a text, the stand-in for an image's row of brightness."""
+    """65 counts of vowels in even slices of a text, the stand-in for an image's row of brightness.
 
-    def count(t: Column, n: Column, i: Column) -> Column:
-        part = F.substr(t, (F.lit(1) + F.floor(i * n / 65)).cast("int"), F.greatest(F.lit(1), F.floor(n / 65).cast("int")))
+    Slices are cut from four bytes a character, where a place is found at once however long the text.
+    """
+
+    def count(wide: Column, n: Column, i: Column) -> Column:
+        start, size = F.floor(i * n / 65).cast("int"), F.greatest(F.lit(1), F.floor(n / 65).cast("int"))
+        part = F.decode(F.substr(wide, start * 4 + 1, size * 4), "UTF-32")
         return F.length(part) - F.length(F.translate(part, "aeiou", ""))
 
-    return once(F.struct(text.alias("t"), F.length(text).alias("n")), lambda x: F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: count(x["t"], x["n"], i)))
+    return once(F.struct(F.encode(text, "UTF-32").alias("wide"), F.length(text).alias("n")), lambda x: F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: count(x["wide"], x["n"], i)))
 
 
 def hamming(a: Column, b: Column) -> Column:
