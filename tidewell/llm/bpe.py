@@ -14,7 +14,7 @@ from .common import col, load, slices, texts, tune
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text that are encoded at once; distinct pieces of text whose ids a worker remembers.
-BATCH, REMEMBERED = 8_000_000, 400_000
+BATCH, REMEMBERED = 2_000_000, 200_000
 #: Bytes that can't begin white space.
 SOLID = np.zeros(256, bool)
 SOLID[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
