@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settle  # noqa: F401 (the operators take it from here)
+
 #: What separates words: any run of characters that are neither letters nor digits.
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -44,27 +44,6 @@ def tune(spark: SparkSession) -> None:
                 raise
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor can read; a temporary one only in local mode."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = tempfile.mkdtemp(prefix="tidewell-")
-    return own
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df once to the shared folder and read it from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A column as one array of strings with 64-bit offsets."""
     a = batch.column(batch.schema.get_field_index(name))
