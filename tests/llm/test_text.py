@@ -369,6 +369,35 @@ def test_toxicity_on_held_out_labels(spark):
     assert n[True, True] >= 20 and n.get((True, False), 0) == 0 and n.get((False, True), 0) <= 0.02 * n[False, False]
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_toxicity_in_every_language_on_held_out_labels(spark, half):
+    """Against all toxic labels, those of texts without an English harsh word too; either half of the ids trains."""
+    sf = f"{DATA}/sf0.1"
+    d, y = common.load(spark, sf, "documents"), common.load(spark, sf, "labels")
+    got = toxicity.classify(d, y.where(f"doc_id % 2 = {half}")).withColumnRenamed("toxic", "said").join(y.where(f"doc_id % 2 <> {half}"), "doc_id").join(d.select("doc_id", "lang"), "doc_id")
+    n = {(r.lang, r.toxic, r.said): r["count"] for r in got.groupBy("lang", "toxic", "said").count().collect()}
+    print(half, sorted(n.items()))
+    found, missed, wrong, right = (sum(v for k, v in n.items() if k[1:] == c) for c in ((1, True), (1, False), (0, True), (0, False)))
+    assert found >= 0.9 * (found + missed) and wrong <= 0.02 * right
+    for lang in ("fr", "de"):
+        assert n[lang, 1, True] >= 0.8 * (n[lang, 1, True] + n.get((lang, 1, False), 0))
+
+
+def test_word_limits_by_language():
+    lang = ["x"] * 20 + ["y", None, "y"]
+    words, y = np.r_[np.zeros(10), np.full(10, 5.0), 9.0, 1.0, 1.0], np.r_[np.zeros(10, int), np.ones(10, int), 1, 0, 0]
+    got = toxicity.limits(lang, words, y)
+    assert got == {"x": 2.5, None: 5.0}  # y has too few of its own
+    assert toxicity.limits(["y"], np.array([1.0]), np.array([1]))[None] == np.inf
+
+
+def test_words_leave_a_documents_own_vote_out():
+    lexicon = toxicity.Lexicon(["bad", "ill"], np.array([3.0, 2.0]), np.array([0.0, 0.0]), 5, 20)
+    one = lambda y: lexicon.score(np.array([0, 1, 0, 2]), ["bad", "ill", "so"], np.array([0, 4]), np.array([y]))[0]
+    seen = lambda t: np.log((t + toxicity.PRIOR / 5) / (toxicity.PRIOR * 4 / 5)) - np.log(0.25)
+    assert one(-1) == pytest.approx(seen(3) + seen(2)) and one(1) == pytest.approx(seen(2))
+
+
 def test_toxicity_of_odd_rows(spark):
     d, y = clashing(nasty(spark)), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     got = toxicity.classify(d, y)

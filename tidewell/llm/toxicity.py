@@ -1,7 +1,8 @@
 """Toxicity: class-conditional Kneser-Ney models over the characters of words, compared by length-normalised likelihood.
 
 Both models have counts of their own for n-grams of OWN to ORDER characters and share the counts below, so rare words
-back off to the same estimates and only what one class really uses moves the comparison.
+back off to the same estimates and only what one class really uses moves the comparison. Harsh words of a language with
+few labelled texts look like its other words by their characters, so whole words that toxic documents share count as well.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ ORDER, OWN, PASSAGE, PER_CLASS = 6, 3, 2, 2000
 HELD, COST = 4, 5.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FALLBACK = 0.05
+#: Distinct words that decide together; other toxic documents that must hold a word; documents that the classes' shares weigh
+#: in a word's evidence; toxic documents a language needs for a limit of its own.
+WORDS, SHARED, PRIOR, FEW = 2, 2, 6.0, 8
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,11 +113,41 @@ class Model:
         return np.bincount(owner, weights=out[0] - out[1], minlength=len(words))
 
 
+class Lexicon:
+    """Words that several toxic documents hold, with the number of documents of either class that hold them."""
+
+    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, n_toxic: int, n_ordinary: int):
+        self.at = {w: i for i, w in enumerate(words)}
+        self.toxic, self.ordinary = np.r_[toxic, 0.0], np.r_[ordinary, 0.0]  # the last stands for any other word
+        self.share = n_toxic / (n_toxic + n_ordinary)
+
+    def evidence(self, i: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Log odds of words over those of the classes, without the vote of the document itself; 0 unless toxic."""
+        t, o = self.toxic[i] - (y == 1), self.ordinary[i] - (y == 0)
+        odds = np.log((t + PRIOR * self.share) / (o + PRIOR * (1 - self.share))) - np.log(self.share / (1 - self.share))
+        return np.where(t >= SHARED, np.maximum(odds, 0), 0)
+
+    def score(self, codes: np.ndarray, names: list[str], off: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each text the evidence of its WORDS most toxic distinct words; y its class, -1 if it has no vote in the counts."""
+        out = np.zeros(len(off) - 1)
+        i = np.fromiter((self.at.get(w, -1) for w in names), np.int64, len(names))
+        here = np.flatnonzero(i[codes] >= 0)
+        doc = np.searchsorted(off, here, side="right") - 1
+        pair = np.unique(doc * len(self.toxic) + i[codes[here]])
+        doc, word = pair // len(self.toxic), pair % len(self.toxic)
+        value = self.evidence(word, y[doc])
+        order = np.lexsort((-value, doc))
+        doc, value = doc[order], value[order]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        np.add.at(out, doc[rank < WORDS], value[rank < WORDS])
+        return out
+
+
 class Scorer:
     """Scores texts in one worker; words that were scored are remembered."""
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, lexicon: Lexicon):
+        self.model, self.lexicon, self.known = model, lexicon, {}
 
     def of(self, words: list[str]) -> np.ndarray:
         if len(self.known) > 1_500_000:
@@ -124,14 +158,15 @@ class Scorer:
             self.known.update(zip(part, self.model.ratio(part).tolist(), strict=True))
         return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
 
-    def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For each text the length-normalised ratio of the whole, and the largest of any passage; nan without words."""
+    def score(self, text: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the length-normalised ratio of the whole, the largest of any passage and the evidence of whole words;
+        nan without words. y is as in Lexicon.score."""
         flat, off = word_lists(text)
         codes, names = coded(flat)
         n = np.diff(off)
-        whole, top = np.full(len(n), np.nan), np.full(len(n), np.nan)
+        whole, top, said = np.full(len(n), np.nan), np.full(len(n), np.nan), np.full(len(n), np.nan)
         if not len(codes):
-            return whole, top
+            return whole, top, said
         ratio = self.of(names)[codes]
         size = np.array([len(w) + 1 for w in names], np.float64)[codes]
         r, s = np.r_[0, np.cumsum(ratio)], np.r_[0, np.cumsum(size)]
@@ -143,26 +178,41 @@ class Scorer:
         some = np.flatnonzero(n)
         top[some] = np.maximum.reduceat(mean, off[:-1][some])
         whole[some] = (r[off[1:]] - r[off[:-1]])[some] / (s[off[1:]] - s[off[:-1]])[some]
-        return whole, top
+        said[some] = self.lexicon.score(codes, names, off, y)[some]
+        return whole, top, said
+
 
+def scored(docs: DataFrame, model: Model, lexicon: Lexicon, counted_y: str | None = None) -> DataFrame:
+    """(ratio, passage, words) in place of text for every row of docs: null for texts that are null or without words.
 
-def scored(docs: DataFrame, model: Model, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, ratio, passage) for every row of docs: null for texts that are null or without words."""
+    counted_y is the column with the class of documents whose own vote is to be left out of the words' evidence.
+    """
     tune(docs.sparkSession)
-    slim = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    out = pa.schema([("id", pa.int64()), ("ratio", pa.float64()), ("passage", pa.float64())])
+    kept = [c for c in docs.columns if c != "text"]
+    at = docs.columns.index(counted_y) if counted_y else None
+    names = [*kept, "ratio", "passage", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model, lexicon)
         for b in slices(batches, "text", 8_000_000):
-            whole, top = scorer.score(texts(b, "text"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(whole, 6), from_pandas=True), pa.array(np.round(top, 6), from_pandas=True)], schema=out)
+            y = np.full(b.num_rows, -1) if at is None else np.asarray(b.column(at))
+            got = [pa.array(np.round(x, 6), from_pandas=True) for x in scorer.score(texts(b, "text"), y)]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in kept] + got, names=names)
+
+    schema = docs.select(*kept).schema
+    for c in ("ratio", "passage", "words"):
+        schema = schema.add(c, "double")
+    return docs.mapInArrow(run, schema)
+
 
-    return slim.mapInArrow(run, "id long, ratio double, passage double")
+def slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, text); lang is null where there is no such column."""
+    lang = col(lang_col) if lang_col in docs.columns else F.lit(None)
+    return docs.select(col(id_col).cast("long").alias("id"), lang.cast("string").alias("lang"), col(text_col).cast("string").alias("text"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, per_class: int) -> DataFrame:
-    """(id, text, y, held) of at most per_class labelled documents of each class, the first by the MD5 of their id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_id: str, label_col: str, per_class: int) -> DataFrame:
+    """(id, lang, text, y, held) of at most per_class labelled documents of each class, the first by the MD5 of their id."""
     y = labels.select(col(label_id).cast("long").alias("id"), col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     y = y.groupBy("id").agg(F.max("y").alias("y"))
     first = F.row_number().over(Window.partitionBy("y").orderBy(F.md5(F.col("id").cast("string")), "id"))
@@ -170,33 +220,56 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     n = y.groupBy("y").count()
     share = y.join(F.broadcast(n), "y").where(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("double") <= 2.0 * per_class / F.col("count") * 2.0**32 + 2.0**22)
     some = share.withColumn("k", first).where(F.col("k") <= per_class).select(F.col("id").alias("__i"), "y", (F.col("k") % HELD == 0).alias("held"))
-    d = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return settle(d.join(F.broadcast(some), F.col("id") == F.col("__i")).select("id", "text", "y", "held"))
+    d = slim(docs, id_col, text_col, lang_col).where(F.col("text").isNotNull())
+    return settle(d.join(F.broadcast(some), F.col("id") == F.col("__i")).select("id", "lang", "text", "y", "held"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[Model, float] | None:
-    """The models and the threshold for a passage; None if a class has no labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[Model, Lexicon, float, dict[str | None, float]] | None:
+    """The models, the threshold for a passage and those for whole words; None if a class has no labelled documents.
 
-    Three quarters of the sample are counted (word counts are gathered, bounded by the sample), the rest sets the threshold.
+    Three quarters of the sample are counted by characters (word counts are gathered, bounded by the sample), the rest sets
+    the threshold for a passage. Whole words are counted in all of it, and each document without its own vote sets theirs.
     """
-    chosen = sample(docs, labels, id_col, text_col, label_id, label_col, per_class)
+    chosen = sample(docs, labels, id_col, text_col, lang_col, label_id, label_col, per_class)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8_000_000):
-            y = np.asarray(b.column(1))
-            for c in (0, 1):
-                part = texts(b, "text").filter(pa.array(y == c))
-                codes, names = coded(word_lists(part)[0])
-                n = np.bincount(codes, minlength=len(names))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c] * len(names), pa.int32()), pa.array(n, pa.int64())], names=["w", "y", "n"])
-
-    w = chosen.where("not held").select("text", "y").mapInArrow(count, "w string, y int, n long").groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("o"))
-    got = w.toPandas().sort_values("w")
+            y, held = np.asarray(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)
+            for c, h in ((0, False), (0, True), (1, False), (1, True)):
+                part = texts(b, "text").filter(pa.array((y == c) & (held == h)))
+                flat, off = word_lists(part)
+                codes, names = coded(flat)
+                n = np.bincount(codes, minlength=len(names)) * (not h)
+                doc = np.repeat(np.arange(len(part)), np.diff(off))
+                held_by = np.bincount(np.unique(doc * max(len(names), 1) + codes) % max(len(names), 1), minlength=len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c] * len(names), pa.int32()), pa.array(n, pa.int64()), pa.array(held_by, pa.int64())], names=["w", "y", "n", "d"])
+
+    by = lambda v, y: F.sum(F.when(F.col("y") == y, F.col(v)).otherwise(0))
+    w = chosen.select("text", "y", "held").mapInArrow(count, "w string, y int, n long, d long").groupBy("w").agg(by("n", 1).alias("t"), by("n", 0).alias("o"), by("d", 1).alias("dt"), by("d", 0).alias("do"))
+    w = settle(w)
+    got = w.where("t + o > 0").select("w", "t", "o").toPandas().sort_values("w")
     if not len(got) or not got.t.sum() or not got.o.sum():
         return None
     model = Model(got.w.tolist(), got.t.to_numpy(np.float64), got.o.to_numpy(np.float64))
-    held = scored(chosen.where("held"), model).join(chosen.where("held").select(F.col("id").alias("i"), "y"), F.col("id") == F.col("i")).select("passage", "y").toPandas().dropna()
-    return model, threshold(held.passage.to_numpy(), held.y.to_numpy())
+    del got
+    lex = w.where(F.col("dt") >= SHARED).select("w", "dt", "do").toPandas().sort_values("w")
+    n = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}
+    lexicon = Lexicon(lex.w.tolist(), lex.dt.to_numpy(np.float64), lex.do.to_numpy(np.float64), n[1], n[0])
+    s = scored(chosen, model, lexicon, "y").select("lang", "y", "held", "passage", "words").toPandas().dropna(subset=["passage"])
+    held = s[s.held]
+    limit = threshold(held.passage.to_numpy(), held.y.to_numpy())
+    left = s[s.passage <= limit]
+    return model, lexicon, limit, limits(left.lang.tolist(), left.words.to_numpy(), left.y.to_numpy())
+
+
+def limits(lang: list[str | None], words: np.ndarray, y: np.ndarray) -> dict[str | None, float]:
+    """Thresholds for the words' evidence by language; under None the one for all languages with few toxic documents."""
+    tag = np.array([x if isinstance(x, str) else "" for x in lang], object)
+    own = [x for x in sorted(set(tag)) if x and (y[tag == x] == 1).sum() >= FEW and (y[tag == x] == 0).any()]
+    out: dict[str | None, float] = {x: threshold(words[tag == x], y[tag == x]) for x in own}
+    rest = ~np.isin(tag, own)
+    out[None] = threshold(words[rest], y[rest]) if len(set(y[rest].tolist())) == 2 else np.inf
+    return out
 
 
 def threshold(score: np.ndarray, y: np.ndarray) -> float:
@@ -211,25 +284,30 @@ def threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[max(k - 1, 0)] + s[min(k, len(s) - 1)]) / 2)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS) -> DataFrame:
-    """(id, ratio, passage, toxic) for every row.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", per_class: int = PER_CLASS, lang_col: str = "lang") -> DataFrame:
+    """(id, ratio, passage, words, toxic) for every row.
 
     ratio is the whole text's log-likelihood under the toxic model less that under the ordinary one, for each character;
-    passage the largest ratio of any PASSAGE words in a row (of the whole text if it has fewer); toxic whether that passes
-    the threshold. Null texts and texts without words have null ratios and aren't toxic, as has every row if a class has
-    no labelled texts. An id with several labels counts as toxic if any says so; other labels than 0 and 1 and null ids are
-    left out. Repeated rows give rows of their own; other columns are ignored; an empty table gives none.
+    passage the largest ratio of any PASSAGE words in a row (of the whole text if it has fewer); words the log odds of its
+    WORDS most toxic distinct words; toxic whether passage or words passes its threshold, the latter one by language where
+    FEW toxic documents allow it. Null texts and texts without words have null scores and aren't toxic, as has every row if
+    a class has no labelled texts. An id with several labels counts as toxic if any says so; other labels than 0 and 1 and
+    null ids are left out. Repeated rows give rows of their own; other columns are ignored; an empty table gives none.
     """
     tune(docs.sparkSession)
-    got = fit(docs, labels, id_col, text_col, label_id, label_col, per_class)
+    got = fit(docs, labels, id_col, text_col, lang_col, label_id, label_col, per_class)
     if got is None:
         none = F.lit(None).cast("double")
-        return docs.select(col(id_col).cast("long").alias(id_col), none.alias("ratio"), none.alias("passage"), F.lit(False).alias("toxic"))
-    model, limit = got
-    s = scored(docs, model, id_col, text_col)
-    return s.select(F.col("id").alias(id_col), "ratio", "passage", F.coalesce(F.col("passage") > limit, F.lit(False)).alias("toxic"))
+        return docs.select(col(id_col).cast("long").alias(id_col), none.alias("ratio"), none.alias("passage"), none.alias("words"), F.lit(False).alias("toxic"))
+    model, lexicon, limit, by_lang = got
+    s = scored(slim(docs, id_col, text_col, lang_col), model, lexicon)
+    own = F.lit(by_lang[None])
+    for lang, at in by_lang.items():
+        if lang is not None:
+            own = F.when(F.col("lang") == lang, F.lit(at)).otherwise(own)
+    return s.select(F.col("id").alias(id_col), "ratio", "passage", "words", F.coalesce((F.col("passage") > limit) | (F.col("words") > own), F.lit(False)).alias("toxic"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratio, worst passage and verdict of every document."""
+    """Ratio, worst passage, worst words and verdict of every document."""
     return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
