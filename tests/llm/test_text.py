@@ -96,6 +96,29 @@ def test_merged_sketches_and_containment(spark):
     assert m["g"] == plain_sketch(" ".join(words))[1] and m["h"] == plain_sketch(" ".join(reversed(words)))[1]
 
 
+def test_containment_of_the_benchmark_in_all_documents(spark):
+    """Every pair that shares a hash against sets, over whole tables; what keeps no hash is counted."""
+    sf = f"{DATA}/sf0.1"
+    items = common.settle(fingerprints.sketches(common.load(spark, sf, "benchmark"), "item_id"))
+    docs = common.settle(fingerprints.sketches(common.load(spark, sf, "documents")))
+    a, b = ({r[0]: (r.n_shingles, set(r.sketch)) for r in x.collect()} for x in (items, docs))
+    holders = {}
+    for j, (_, s) in b.items():
+        for h in s:
+            holders.setdefault(h, []).append(j)
+    shared = {}
+    for i, (_, s) in a.items():
+        for h in s:
+            for j in holders.get(h, ()):
+                shared[i, j] = shared.get((i, j), 0) + 1
+    for least in (0.0, 0.5):
+        got = {(r.item_id, r.doc_id): (r.shared, r.containment) for r in fingerprints.containment(items, docs, "item_id", "doc_id", least).collect()}
+        want = {k: (n, n / len(a[k[0]][1])) for k, n in shared.items() if n / len(a[k[0]][1]) >= least}
+        assert got == want and len(want) > 100
+    empty, none = sum(not s for _, s in a.values()), sum(not s for _, s in b.values())
+    assert (len(a), empty, len(b), none) == (200, 35, 10_000, 342)  # as the README says
+
+
 # ---- 2 ---------------------------------------------------------------------------------------------------------------
 
 
