@@ -269,6 +269,20 @@ def test_decoding_slices_joins_split_characters(spark):
     assert [x.text for x in r] == ["�" * 3, None, ""]
 
 
+def test_round_trip_goes_through_the_text_decoder(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    d = spark.createDataFrame([(1, "a🙂日本語é!", "", "", 0), (2, "plain", "", "", 0), (3, "", "", "", 0), (4, None, "", "", 0)], DOC)
+    say = lambda: [r.round_trip for r in bpe.encode(d).orderBy("doc_id").collect()]
+    assert say() == [True, True, True, None]
+    monkeypatch.setattr(bpe, "whole_characters", lambda data: (b"", data.decode("ascii", "replace"), b""))
+    cloudpickle.register_pickle_by_value(bpe)  # or the workers would import it unbroken
+    try:
+        assert say() == [False, True, True, None]
+    finally:
+        cloudpickle.unregister_pickle_by_value(bpe)
+
+
 # ---- 7, 8 ------------------------------------------------------------------------------------------------------------
 
 

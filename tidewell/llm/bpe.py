@@ -134,7 +134,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """(id, n_tokens, ids, starts, ends, round_trip) for every row.
 
     starts and ends are character offsets: a token covers each character of which it holds a byte, so the tokens of a
-    split character cover it all. round_trip says that decoding gives the text's bytes back. A null text has null
+    split character cover it all. round_trip says that what decode does with the ids gives the text back whole, with nothing
+    left at either end. A null text has null
     everywhere, an empty one no tokens; strings of special tokens in a text are ordinary text. Texts of any length are
     encoded whole, repeated rows and null ids give rows of their own, other columns are ignored.
     """
@@ -149,7 +150,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for b in slices(batches, "text", BATCH):
             t = texts(b, "text")
             null = np.asarray(t.is_null())
-            ids, n, raw, text_off = encoder.encode(t.fill_null(""))
+            ids, n, raw, _ = encoder.encode(t.fill_null(""))
             off = np.concatenate([[0], np.cumsum(n)])
             data, size = table.bytes_of(ids)
             ends = np.cumsum(size)
@@ -159,10 +160,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             base = np.repeat(np.concatenate([[0], char])[doc_end[:-1]] if len(data) else np.zeros(len(n), np.int64), n)
             first = (char[ends - size] - 1 - base).astype(np.int32) if len(ids) else ids
             last = (char[ends - 1] - base).astype(np.int32) if len(ids) else ids
-            same = np.array([len(raw) == len(data)] * len(n))
-            if len(raw) == len(data):
-                wrong = np.flatnonzero(raw != data)
-                same[np.searchsorted(text_off[1:], wrong, side="right")] = False
+            same = [decoded(table, ids[i:j]) == (b"", x or "", b"") for i, j, x in zip(off[:-1], off[1:], t.to_pylist(), strict=True)]
             mask = pa.array(null)
             lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x, pa.int32()), mask=mask) for x in (ids, first, last)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], schema=out)
@@ -191,8 +189,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", toke
                 if not ids.is_valid:
                     parts: tuple = (None, None, None)
                 else:
-                    own = table.known(np.asarray(ids.values.fill_null(-1), dtype=np.int64))
-                    parts = whole_characters(table.bytes_of(own)[0].tobytes())
+                    parts = decoded(table, np.asarray(ids.values.fill_null(-1), dtype=np.int64))
                 for to, x in zip((head, text, tail), parts, strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string()), pa.array(head, pa.binary()), pa.array(tail, pa.binary())], schema=out)
@@ -200,6 +197,11 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", toke
     return slim.mapInArrow(run, "id long, text string, head binary, tail binary").withColumnRenamed("id", id_col)
 
 
+def decoded(table: Table, ids: np.ndarray) -> tuple[bytes, str, bytes]:
+    """Head, text and tail of one row of ids, as decode gives them."""
+    return whole_characters(table.bytes_of(table.known(ids))[0].tobytes())
+
+
 def whole_characters(data: bytes) -> tuple[bytes, str, bytes]:
     """Bytes of a character begun earlier, the whole characters, and bytes of one that ends later."""
     i = 0
