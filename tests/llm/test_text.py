@@ -139,6 +139,15 @@ def test_quality_on_labels(spark):
     assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0)) and n.get((0, False), 0) >= 0.8 * (n.get((0, False), 0) + n.get((0, True), 0))
 
 
+def test_quality_on_few_labels(spark):
+    """With half of the 399 labels of sf0.01 no good document is rejected, but one half leaves 17 of 34 bad ones in."""
+    docs, y = common.load(spark, f"{DATA}/sf0.01", "documents"), common.load(spark, f"{DATA}/sf0.01", "labels")
+    for half, least in ((0, 17 / 34), (1, 22 / 24)):
+        got = quality.classify(docs, y.where(f"doc_id % 2 = {half}")).join(y.where(f"doc_id % 2 <> {half}").select("doc_id", F.col("quality").alias("said")), "doc_id")
+        n = {(r.said, r.keep): r["count"] for r in got.groupBy("said", "keep").count().collect()}
+        assert n.get((1, False), 0) == 0 and n[0, False] >= least * (n[0, False] + n[0, True])
+
+
 # ---- 3 ---------------------------------------------------------------------------------------------------------------
 
 
