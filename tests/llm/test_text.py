@@ -377,6 +377,16 @@ def test_bit_sliced_links_against_every_pair():
     assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
 
 
+def test_share_of_pairs_that_no_table_brings_together():
+    """What links() says of its misses, by 20,000 random differences."""
+    rng = np.random.default_rng(7)
+    groups = simhash.table_bits(simhash.TABLES, simhash.KEY_BITS)
+    for d, least, most in ((6, 0, 0), (19, 1 / 11, 1 / 9.5)):
+        differs = np.argsort(rng.random((20_000, simhash.BITS)), axis=1).argsort(axis=1) < d
+        missed = np.mean([differs[:, g].any(axis=1) for g in groups], axis=0) == 1
+        assert least <= missed.mean() <= most
+
+
 def test_near_duplicates_against_every_pair(spark):
     d = common.load(spark, SMALL, "documents")
     assert sorted(tuple(r) for r in simhash.near_duplicates(d).collect()) == plain_groups([(r.doc_id, r.text) for r in d.collect()])
