@@ -185,6 +185,43 @@ def test_neighbours_recall(spark):
     assert len(want & {(r.vec_id, r.neighbour_id) for r in hit.collect()}) >= 0.9 * len(want)
 
 
+def test_neighbours_prune_more_the_more_there_are():
+    """The share of distances that a search takes falls as the table grows, at a recall of 0.9 or more."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(32_000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    share = []
+    for n in (2000, 8000, 32_000):
+        ids, some = np.arange(n), slice(0, n, n // 200)
+        tree = neighbours.Tree.build(ids, x[:n])
+        row, who, _ = tree.search(x[:n][some], ids[some], np.full(200, np.inf), 10, neighbours.FACTOR)
+        d = neighbours.between(x[:n][some], x[:n])
+        d[np.arange(200), ids[some]] = np.inf
+        want = {(i, int(j)) for i in range(200) for j in np.argpartition(d[i], 10)[:10]}
+        assert len(want & set(zip(row.tolist(), who.tolist(), strict=True))) >= 0.9 * len(want)
+        share.append(tree.computed / d.size)
+    assert share[0] > share[1] > share[2] and share[2] < 0.6
+
+
+def test_neighbours_of_the_query_set_come_from_all_rows(spark):
+    """The registered query: ids divisible by 50 against every row, by brute force; repeated vectors and every shard count."""
+    v, df = vectors(spark)
+    x = v.astype(np.float64)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).round(6)
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for r in neighbours.nearest(df, k=4, factor=1.0, shard=100, every=50).collect():
+        got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour_id))
+    assert {i: [n for _, n in sorted(g)] for i, g in got.items()} == {i: np.lexsort((np.arange(len(v)), d[i]))[:4].tolist() for i in range(0, len(v), 50)}
+    e = common.load(spark, f"{DATA}/sf0.1", "embeddings").select("vec_id", "embedding").toArrow()
+    ids, x = np.asarray(e["vec_id"]), neighbours.matrix(e["embedding"], 64)
+    d = neighbours.between(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(int(ids[i]), int(ids[j])) for i in np.flatnonzero(ids % 50 == 0) for j in np.argsort(d[i], kind="stable")[:10]}
+    found = {(r.vec_id, r.neighbour_id) for r in neighbours.query(spark, f"{DATA}/sf0.1").collect()}
+    assert len(found) == len(want) and len(want & found) >= 0.9 * len(want)
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------------
 
 
