@@ -1,5 +1,7 @@
 """Scalar functions: the golden cases of FIXTURES.md."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,57 @@ def test_prompt(spark):
 
 def test_six_decimals(spark):
     assert [r[0] for r in spark.createDataFrame([(0.1234565,), (None,)], "x double").select(boxes.six("x")).collect()] == ["0.123456", None]
+
+
+def test_columns_format_as_python_does(spark):
+    """Ties, dyadic halves, tiny and odd values: the column's decimals against Python's."""
+    rng = random.Random(6)
+    xs = [rng.random() for _ in range(300)] + [(rng.randint(0, 10**6) + 0.5) / 1e6 for _ in range(3000)] + [i / 512 for i in range(513)]
+    xs += [0.0, 1.0, 5e-7, 4.9999999e-7, 1e-300, 5e-324, 0.1234565, float("nan"), float("inf"), -float("inf"), 2.0, -1.0, None]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", boxes.decimals(boxes.clamp(F.col("x"))).alias("s")).collect()
+    assert len(got) == len(xs)
+    for r in got:
+        assert r.s == (None if r.x is None else f"{max(0.0, min(1.0, r.x)):.6f}")
+
+
+def test_typed_boxes_against_python(spark):
+    rng = random.Random(7)
+    value = lambda: rng.choice([None, float("nan"), -0.5, 0.0, 1e-9, 0.0078125, 0.1234565, 0.5, 1.0, 7.25, rng.random()])
+    made = [[None if rng.random() < 0.05 else (rng.choice([None, -1, 0, 1, 2, 3, 99]), value(), value(), value(), value()) for _ in range(6)] for _ in range(200)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(made)], "i int, b array<struct<class_id:long,cx:double,cy:double,w:double,h:double>>")
+    for classes in (3, None):
+        got = {r.i: r.l for r in df.select("i", boxes.box_lines(F.col("b"), classes).alias("l")).collect()}
+        for i, m in enumerate(made):
+            want = [boxes.lenient_line(None if b is None else dict(zip(("class_id", "cx", "cy", "w", "h"), b, strict=True)), classes) for b in m]
+            # a class below 0 is nobody's, with or without a list of classes
+            assert got[i] == [x for x in want if x is not None], (classes, m)
+    assert df.select(boxes.box_lines(F.lit(None).cast("array<struct<class_id:long,cx:double,cy:double,w:double,h:double>>"), 3).alias("l")).first().l is None
+
+
+def test_free_text_against_python(spark):
+    rng = random.Random(8)
+    piece = lambda: rng.choice([" ", "\t", "  ", "\n", "\r\n", "0", "12", "0" * 3 + "9" * 45, ".5", "0.1234565", "1.", "-1", "1e3", "x", "0.0078125", ".99999951"])
+    texts = ["".join(piece() for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += [" ".join(["7", *(rng.choice(["0.5", ".1234565", "3.75", "0.9999995", "0"]) for _ in range(4))]) for _ in range(50)] + [f"{'7' * 60} .5 .5 .5 .5", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", boxes.text_lines(F.col("t")).alias("l")).collect():
+        assert (r.l or []) == boxes.free_lines(texts[r.i]), texts[r.i]
+
+
+REPLIES = [
+    '{"boxes":[7,{"class_id":0,"cx":0.5,"cy":0.5,"w":0.5,"h":0.5}]}',
+    '{"boxes":[{"class_id":"1","center_x":"0.25","cy":0.5,"w":0.5,"h":0.5},"{",null,[1],{"class_id":9,"cx":1,"cy":1,"w":1,"h":1}]}',
+    '{"boxes":[{"class_id":1.9,"center_x":null,"cx":0.5,"cy":0.5,"w":0.5,"h":0.5},{"class_id":true,"cx":0.1234565,"cy":1,"w":1,"h":1}]}',
+    '{"boxes":[]}',
+    "[]",
+    None,
+    "{",
+]
+
+
+def test_replies_keep_the_good_boxes_of_a_mixed_list(spark):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(REPLIES)], "i int, r string")
+    for r in df.select("i", boxes.parsed_boxes(F.col("r")).alias("b"), boxes.json_lines(F.col("r"), 3).alias("l")).collect():
+        assert len(r.b) == sum(isinstance(x, dict) for x in boxes.reply_boxes(REPLIES[r.i]))
+        assert list(r.l) == boxes.reply_lines(REPLIES[r.i], 3)
+    assert boxes.reply_lines(REPLIES[0], 3) == ["0 0.500000 0.500000 0.500000 0.500000"]

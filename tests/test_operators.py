@@ -125,3 +125,14 @@ def test_extra_columns_do_not_clash(spark):
     t = table(spark, [("train", "1", "x", 0, 5, 0), ("train", "2", "x", 0, 5, 0)]).withColumns({"n": F.lit(1), "best": F.lit(2), "p": F.lit(3), "a": F.lit(4)})
     exact, near, rest = dedup.deduplicate(t)
     assert (exact.count(), near.count(), rest.count()) == (1, 0, 1)
+
+
+def test_null_strata_are_sampled_like_others(spark):
+    rows = [("train", None, "a"), ("train", None, "b"), ("train", 1, "c"), (None, 2, "d"), (None, None, "e"), ("train", 1, None), ("train", 1, "c")]
+    t = spark.createDataFrame(rows, "subset string, cls long, k string").withColumns({n: F.lit("x") for n in ("before", "rank", "draw", "bin", "quota", "here", "n")})
+    counts = t.groupBy("subset", "cls").agg(F.count(F.lit(1)).alias("n"))
+    for targets, kept in (({}, 7), ({"train": 3}, 5), ({"train": 0}, 2)):
+        got = sampling.sample(t, sampling.quotas(counts, targets), "k")
+        assert got.columns == [*t.columns, "kept"]
+        assert got.count() == len(rows) and got.where("kept").count() == kept and got.where("kept and subset is null").count() == 2
+    assert sampling.sample(t.limit(0), sampling.quotas(counts, {}), "k").count() == 0

@@ -11,8 +11,8 @@ RULES = (
     "- Give coordinates as fractions of width and height.\n- With nothing to annotate, give an empty list.\n\n"
     "Reply with one JSON object that has the key 'boxes' and no other text."
 )
-NOTES, SIZE = "\n\nFurther notes:\n", "\n\nImage dimensions: width="
-SCHEMA = '.\nEach box is {"class_id": int, "center_x": float, "center_y": float, "width": float, "height": float}. Numbers must be normalized to [0,1].'
+NOTES, SIZE = "\n\nFurther notes:\n", "\n\nThe picture has width="
+SCHEMA = '.\nWrite each box as {"class_id": int, "center_x": float, "center_y": float, "width": float, "height": float}, all four fractions within [0,1].'
 PLAIN = "\n\nReply with label lines alone, one object a line: class_id center_x center_y width height."
 
 

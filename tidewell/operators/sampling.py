@@ -48,12 +48,17 @@ def draw(key: Column, seed: int) -> Column:
 def sample(images: DataFrame, quota: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     """The images (subset, cls, key, ...) with `kept`: whether the key is among its class's quota in a random order.
 
+    A null split or class is one like any other, a null key is drawn first. Rows of a class without a quota are all kept.
     Draws are counted by their first digits, so only draws that begin alike are ever sorted together, however large the class.
     """
-    drawn = images.withColumn("draw", draw(F.col(key).cast("string"), seed)).withColumn("bin", F.substring("draw", 1, 4))
-    bins = drawn.groupBy("subset", "cls", "bin").agg(F.count(F.lit(1)).alias("here"))
-    run = Window.partitionBy("subset", "cls").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = bins.withColumn("before", F.sum("here").over(run) - F.col("here")).join(quota.select("subset", "cls", "quota"), ["subset", "cls"])
-    rank = F.row_number().over(Window.partitionBy("subset", "cls", "bin").orderBy("draw", key))
-    ranked = drawn.withColumn("rank", rank).join(bins.drop("here"), ["subset", "cls", "bin"])
-    return ranked.withColumn("kept", F.col("before") + F.col("rank") <= F.col("quota")).drop("draw", "bin", "rank", "before", "quota")
+    drawn = images.withColumn("__draw", F.coalesce(draw(F.col(key).cast("string"), seed), F.lit(""))).withColumn("__bin", F.substring("__draw", 1, 4))
+    bins = drawn.groupBy(F.col("subset").alias("__s"), F.col("cls").alias("__c"), F.col("__bin").alias("__b")).agg(F.count(F.lit(1)).alias("__here"))
+    run = Window.partitionBy("__s", "__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = bins.withColumn("__before", F.sum("__here").over(run) - F.col("__here"))
+    q = quota.select(F.col("subset").alias("__qs"), F.col("cls").alias("__qc"), F.col("quota").alias("__quota"))
+    bins = bins.join(q, F.col("__s").eqNullSafe(F.col("__qs")) & F.col("__c").eqNullSafe(F.col("__qc")), "left")
+    rank = F.row_number().over(Window.partitionBy("subset", "cls", "__bin").orderBy("__draw", key))
+    here = F.col("subset").eqNullSafe(F.col("__s")) & F.col("cls").eqNullSafe(F.col("__c")) & (F.col("__bin") == F.col("__b"))
+    ranked = drawn.withColumn("__rank", rank).join(bins, here)
+    kept = F.col("__quota").isNull() | (F.col("__before") + F.col("__rank") <= F.col("__quota"))
+    return ranked.withColumn("kept", kept).select(*images.columns, "kept")

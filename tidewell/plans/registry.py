@@ -19,6 +19,8 @@ SPLITS = ("train", "valid")
 #: Targets of the sample and of the plan, and of the quotas over line items.
 TARGETS, ITEM_TARGETS = {"train": 300, "valid": 90}, {"F": 1003, "O": 997}
 CLASSES = 12
+#: A class of more digits than any whole number of the engine has.
+LONG = "1234567890" * 4
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,17 +52,21 @@ def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_box() -> Column:
-    """A line item as a box, for some classes unknown and some sizes zero."""
-    return F.struct((F.col("l_suppkey") % 14).alias("class_id"), F.col("l_discount").alias("cx"), F.col("l_tax").alias("cy"), (F.col("l_quantity") / 25).alias("w"), F.col("l_tax").alias("h"))
+    """A line item as a box, for some classes unknown, some sizes zero or null and some places between two millionths."""
+    tie = (F.col("l_orderkey") % 1_000_000 + F.lit(0.5)) / F.lit(1e6)
+    x, w = F.when(F.col("l_linenumber") == 2, tie).otherwise(F.col("l_discount")), F.when(F.col("l_linenumber") != 5, F.col("l_quantity") / 25)
+    return F.struct((F.col("l_suppkey") % 14).alias("class_id"), x.alias("cx"), F.col("l_tax").alias("cy"), w.alias("w"), F.col("l_tax").alias("h"))
 
 
 def item_text() -> Column:
-    """A line item as an annotator's free text: signs and trailing words make some lines unusable."""
+    """A line item as an annotator's free text: signs and trailing words make some lines unusable, some classes are long,
+    some numbers lie between two millionths, some texts are null."""
+    n = F.col("l_linenumber")
     line = F.concat(
-        "l_linenumber", F.lit(" "), F.when(F.col("l_returnflag") == "A", "-").otherwise(""), F.col("l_discount").cast("string"), F.lit(" "), F.col("l_tax").cast("string"),
-        F.lit("\t"), F.col("l_quantity").cast("string"), F.lit(" .5"), F.when(F.col("l_returnflag") == "R", " x").otherwise(""),
+        F.when(n == 4, f"00{LONG}").otherwise(n.cast("string")), F.lit(" "), F.when(F.col("l_returnflag") == "A", "-").otherwise(""), F.col("l_discount").cast("string"), F.lit(" "), F.col("l_tax").cast("string"),
+        F.lit("\t"), F.col("l_quantity").cast("string"), F.when(n == 3, " .1234565").otherwise(" .5"), F.when(F.col("l_returnflag") == "R", " x").otherwise(""),
     )
-    return F.concat(F.lit("Here they are:\r\n"), line, F.lit("\n99 .5 0.25 0 1.5"))
+    return F.when(n != 7, F.concat(F.lit("Here they are:\r\n"), line, F.lit("\n99 .5 0.25 0 1.5")))
 
 
 # ---- queries ---------------------------------------------------------------------------------------------------------
@@ -106,7 +112,7 @@ def near_pairs(across: bool):
 
 def near_clusters(across: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = dedup.near_members(images(spark, sf_dir), across=across)
+        m = dedup.near_members(settle(images(spark, sf_dir)), across=across)
         return m.select("scope", "image", hashing.hex16(F.col("cluster")).alias("cluster"), F.col("size").cast("long").alias("size"), (F.col("image") == F.col("keep")).alias("stays"))
 
     return run
@@ -178,10 +184,11 @@ def yolo_text_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of JSON replies, some of which are no JSON or hold no list."""
-    l = load(spark, sf_dir, "lineitem")
-    good = F.to_json(F.struct(F.array(F.struct((F.col("l_suppkey") % 14).alias("class_id"), F.col("l_discount").alias("cx"), F.col("l_tax").alias("center_y"))).alias("boxes")))
-    reply = F.when(F.col("l_linenumber") == 7, "no boxes here").when(F.col("l_linenumber") == 6, '{"boxes":5}').when(F.col("l_linenumber") == 5, "[1]").otherwise(good)
+    """Boxes of JSON replies, some of which are null or no JSON, hold no list or one of boxes and other things."""
+    l, n = load(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    box = F.to_json(F.struct((F.col("l_suppkey") % 14).alias("class_id"), F.col("l_discount").alias("cx"), F.col("l_tax").alias("center_y")))
+    good = F.concat(F.lit('{"boxes":['), F.when(n == 4, '7,"{",null,[1],').otherwise(""), box, F.lit("]}"))
+    reply = F.when(n == 7, "no boxes here").when(n == 6, '{"boxes":5}').when(n == 5, "[1]").when(n != 3, good)
     b = l.select("l_orderkey", "l_linenumber", bx.parsed_boxes(reply).alias("b"))
     first = F.get("b", F.lit(0))
     return b.select("l_orderkey", "l_linenumber", F.size("b").cast("long").alias("n"), first["class_id"].alias("class_id"), F.coalesce(first["center_x"], first["cx"]).alias("cx"), F.coalesce(first["center_y"], first["cy"]).alias("cy"))
@@ -326,14 +333,15 @@ gone AS (SELECT subset, image, label, 'exact' AS reason FROM i WHERE k > 1 UNION
   UNION ALL SELECT subset, image, label, 'downsample' FROM drawn WHERE k > quota)"""
 _LINE = bx.LINE.replace("'", "''")
 _CLAMP = "greatest(0.0, least(1.0, {}))"
-_BOX = f"""box AS (SELECT l_orderkey, l_linenumber, l_suppkey % 14 < {CLASSES} AND {_CLAMP.format("l_quantity / 25")} > 0 AND {_CLAMP.format("l_tax")} > 0 AS ok,
-  printf('%d %.6f %.6f %.6f %.6f', l_suppkey % 14, {", ".join(_CLAMP.format(c) for c in ("l_discount", "l_tax", "l_quantity / 25", "l_tax"))}) AS line,
-  l_linenumber || ' ' || CASE WHEN l_returnflag = 'A' THEN '-' ELSE '' END || CAST(l_discount AS VARCHAR) || ' ' || CAST(l_tax AS VARCHAR) || chr(9) || CAST(l_quantity AS VARCHAR) || ' .5'
-    || CASE WHEN l_returnflag = 'R' THEN ' x' ELSE '' END AS own FROM lineitem),
-txt AS (SELECT *, 'Here they are:' || chr(13) || chr(10) || own || chr(10) || '99 .5 0.25 0 1.5' AS t FROM box)"""
+_TIE = "CASE WHEN l_linenumber = 2 THEN (CAST(l_orderkey % 1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / 1e6 ELSE l_discount END"
+_BOX = f"""box AS (SELECT l_orderkey, l_linenumber, l_suppkey % 14 < {CLASSES} AND l_linenumber <> 5 AND {_CLAMP.format("l_quantity / 25")} > 0 AND {_CLAMP.format("l_tax")} > 0 AS ok,
+  printf('%d %.6f %.6f %.6f %.6f', l_suppkey % 14, {", ".join(_CLAMP.format(c) for c in (_TIE, "l_tax", "l_quantity / 25", "l_tax"))}) AS line,
+  CASE WHEN l_linenumber = 4 THEN '00{LONG}' ELSE CAST(l_linenumber AS VARCHAR) END || ' ' || CASE WHEN l_returnflag = 'A' THEN '-' ELSE '' END || CAST(l_discount AS VARCHAR) || ' ' || CAST(l_tax AS VARCHAR)
+    || chr(9) || CAST(l_quantity AS VARCHAR) || CASE WHEN l_linenumber = 3 THEN ' .1234565' ELSE ' .5' END || CASE WHEN l_returnflag = 'R' THEN ' x' ELSE '' END AS own FROM lineitem),
+txt AS (SELECT *, CASE WHEN l_linenumber <> 7 THEN 'Here they are:' || chr(13) || chr(10) || own || chr(10) || '99 .5 0.25 0 1.5' END AS t FROM box)"""
 _PART = lambda i: _CLAMP.format(f"CAST(regexp_extract(x, '{_LINE}', {i}) AS DOUBLE)")
 _FREE = f"""array_to_string(list_transform(list_filter(string_split_regex(t, '\\r\\n|[\\r\\n]'), lambda x: regexp_matches(x, '{_LINE}')),
-  lambda x: printf('%d %.6f %.6f %.6f %.6f', CAST(regexp_extract(x, '{_LINE}', 1) AS BIGINT), {", ".join(map(_PART, range(2, 6)))})), chr(10))"""
+  lambda x: printf('%s %.6f %.6f %.6f %.6f', regexp_replace(regexp_extract(x, '{_LINE}', 1), '^0+([0-9])', '\\1'), {", ".join(map(_PART, range(2, 6)))})), chr(10))"""
 
 
 def _quoted(text: str) -> str:
@@ -376,8 +384,8 @@ SELECT *, initial - exact - near AS after_dedup, initial - exact - near - sample
     "yolo_lines": f"WITH {_BOX} SELECT l_orderkey, count(*) FILTER (WHERE ok) AS n, coalesce(string_agg(line, chr(10) ORDER BY line) FILTER (WHERE ok), '') AS file FROM box GROUP BY l_orderkey",
     "yolo_text_parse": f"WITH {_BOX} SELECT l_orderkey, l_linenumber, {_FREE} AS lines FROM txt",
     "boxes_json": """
-SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (5, 6, 7) THEN 0 ELSE 1 END AS n, CASE WHEN l_linenumber NOT IN (5, 6, 7) THEN CAST(l_suppkey % 14 AS VARCHAR) END AS class_id,
-  CASE WHEN l_linenumber NOT IN (5, 6, 7) THEN CAST(l_discount AS VARCHAR) END AS cx, CASE WHEN l_linenumber NOT IN (5, 6, 7) THEN CAST(l_tax AS VARCHAR) END AS cy FROM lineitem
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (3, 5, 6, 7) THEN 0 ELSE 1 END AS n, CASE WHEN l_linenumber NOT IN (3, 5, 6, 7) THEN CAST(l_suppkey % 14 AS VARCHAR) END AS class_id,
+  CASE WHEN l_linenumber NOT IN (3, 5, 6, 7) THEN CAST(l_discount AS VARCHAR) END AS cx, CASE WHEN l_linenumber NOT IN (3, 5, 6, 7) THEN CAST(l_tax AS VARCHAR) END AS cy FROM lineitem
 """,
     "prompt_text": f"""
 WITH t AS (SELECT DISTINCT p_brand, p_type FROM part), s AS (SELECT p_brand, max(p_size) AS w, min(p_size) AS h FROM part GROUP BY p_brand),
