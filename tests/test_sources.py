@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import struct
 import sys
 import zlib
@@ -181,3 +182,111 @@ def test_commands(spark, tmp_path, capsys):
     assert open(f"{tmp_path}/labels/a.txt").read().startswith("7 0.500000")
     os.makedirs(f"{tmp_path}/empty")
     assert cli.main(["label", "--images", f"{tmp_path}/empty", "--config", conf, "--provider", "fake"]) == 2
+
+
+def filtered(rows, kinds, bands):
+    """A PNG whose rows are stored by the given filters; rows hold w x bands numbers."""
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    raw, up = b"", [0] * len(rows[0])
+    for kind, r in zip(kinds, rows, strict=True):
+        line = []
+        for x, v in enumerate(r):
+            a, b = (r[x - bands] if x >= bands else 0), up[x]
+            c = up[x - bands] if x >= bands else 0
+            near = min((a, b, c), key=lambda p: abs(a + b - c - p))  # noqa: B023
+            line.append((v - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+        raw += bytes([kind]) + bytes(line)
+        up = r
+    head = struct.pack(">IIBBBBB", len(rows[0]) // bands, len(rows), 8, {1: 0, 3: 2, 4: 6}[bands], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("bands", [1, 3, 4])
+def test_png_filters(spark, bands):
+    rng = random.Random(bands)
+    rows = [[rng.randrange(256) for _ in range(11 * bands)] for _ in range(25)]
+    want = images.png(filtered(rows, [0] * 25, bands))
+    assert want.shape == (25, 11)
+    assert (images.png(filtered(rows, [k % 5 for k in range(25)], bands)) == want).all()
+
+
+def jvm_image(spark, kind, rows, path):
+    """Grey rows written by the JVM."""
+    jvm = spark._jvm
+    im = jvm.java.awt.image.BufferedImage(len(rows[0]), len(rows), 5)
+    for y, r in enumerate(rows):
+        for x, v in enumerate(r):
+            im.setRGB(x, y, (v << 16 | v << 8 | v) - (1 << 24))
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    assert jvm.javax.imageio.ImageIO.write(im, kind, jvm.java.io.File(path))
+
+
+def test_images_that_only_the_jvm_reads(spark, tmp_path):
+    root = f"{tmp_path}/ds"
+    for name, kind in (("a.jpg", "jpg"), ("b.JPEG", "jpg"), ("_c.tif", "tiff"), ("d.png", "png")):
+        jvm_image(spark, kind, [list(range(200, 20, -10))] * 16, f"{root}/train/images/{name}")
+    whole = open(f"{root}/train/images/a.jpg", "rb").read()
+    put(f"{root}/train/images/cut.jpg", whole[:200])
+    put(f"{root}/train/images/e.webp", b"RIFF\x1a\0\0\0WEBPVP8L\x0d\0\0\0\x2f" + (17 | 15 << 14).to_bytes(4, "little"))
+    got = {os.path.basename(r.image): r for r in cleanup.scan(spark, root, ["train"]).collect()}
+    assert len(got) == 6
+    for name in ("a.jpg", "b.JPEG", "_c.tif", "d.png"):
+        assert (got[name].w, got[name].h, got[name].status) == (18, 16, "ok") and got[name].dhash == -1, name
+    assert (got["cut.jpg"].w, got["cut.jpg"].dhash, got["cut.jpg"].status) == (0, 0, "undecodable")
+    assert got["e.webp"].status == "unsupported" and got["e.webp"].dhash != 0
+    for n in ("a.jpg", "_c.tif", "d.png", "e.webp", "cut.jpg"):
+        assert images.header_size(open(f"{root}/train/images/{n}", "rb").read()) == ((18, 16)), n
+    rows = [(n, bytearray(open(f"{root}/train/images/{n}", "rb").read()), got[n].sha256) for n in ("a.jpg", "b.JPEG")]
+    df = spark.createDataFrame(rows, "path string, content binary, sha256 string")
+    assert {(r.w, r.dhash) for r in images.with_metadata(df).collect()} == {(18, -1)}
+    sized = images.with_size(spark.createDataFrame([(bytearray(b"junk"),), (None,), (bytearray(bmp(TOP)),)], "content binary"))
+    assert [(r.w, r.h) for r in sized.collect()] == [(0, 0), (0, 0), (9, 8)]
+
+
+def test_plans_are_written_in_order(spark, tmp_path):
+    names = ["subset", "image", "label", "sha256", "dhash", "res", "cls", "key"]
+    rows = [(s, f"{s}/{i:03}", None, "same", 0, 1, 0, f"{s}{i}") for i in range(40) for s in ("train", "valid")]
+    p = cleanup.plan(spark.createDataFrame(rows[::-1], "subset string, image string, label string, sha256 string, dhash long, res long, cls long, key string").select(*names), ["valid", "train"])
+    cleanup.write_plan(p, str(tmp_path))
+    lines = [json.loads(x) for f in sorted(os.listdir(f"{tmp_path}/removals/reason=exact")) if f.endswith(".json") for x in open(f"{tmp_path}/removals/reason=exact/{f}")]
+    assert [x["image"] for x in lines] == [f"{s}/{i:03}" for s in ("valid", "train") for i in range(1, 40)]
+
+
+def test_videos_that_nothing_reads(spark, tmp_path):
+    put(f"{tmp_path}/a.mp4", b"\0\0\0\x18ftypmp42")
+    assert video.frames(files.read_tree(spark, f"{tmp_path}/a.mp4", layout="plain", suffixes=(".mp4",))).count() == 0
+    with pytest.raises(Exception, match="can't read"):
+        cli.main(["frames", "--video", f"{tmp_path}/a.mp4", "--out", f"{tmp_path}/out"])
+    assert cli.main(["frames", "--video", f"{tmp_path}/none.mp4", "--out", f"{tmp_path}/out"]) == 2
+    put(f"{tmp_path}/b.avi", b"head" + b"\xff\xd8\xff\xe0one\xff\xd9" * 3)
+    assert cli.main(["frames", "--video", f"{tmp_path}/b.avi", "--out", f"{tmp_path}/out"]) == 0
+    assert sorted(os.listdir(f"{tmp_path}/out")) == [f"frame_{i:05}.jpg" for i in range(3)]
+
+
+class Named(Fake):
+    def __init__(self, model="own"):
+        assert model in ("own", "big")
+
+
+def test_label_command_options(spark, tmp_path, monkeypatch):
+    put(f"{tmp_path}/in/a.png", png(DOWN))
+    put(f"{tmp_path}/in/bad.png", b"junk")
+    annotate.register("named", Named, secret="TIDEWELL_TEST_KEY")
+    assert cli.main(["config", "--classes", "disc", "--out", f"{tmp_path}/c.json"]) == 0
+    label = ["label", "--images", f"{tmp_path}/in", "--out-dir", f"{tmp_path}/out", "--config", f"{tmp_path}/c.json", "--provider", "named", "--model", "big", "--save-raw", f"{tmp_path}/raw"]
+    monkeypatch.delenv("TIDEWELL_TEST_KEY", raising=False)
+    assert cli.main(label) == 1
+    monkeypatch.setenv("TIDEWELL_TEST_KEY", "x")
+    assert cli.main(label) == 0
+    assert os.listdir(f"{tmp_path}/out") == ["a.txt"]
+    assert {os.path.basename(r.path): r.raw for r in spark.read.json(f"{tmp_path}/raw").collect()}["a.png"] == "?"
+
+
+def test_scratch_tables_go(spark):
+    from tidewell.sources import scratch
+
+    df = scratch.settle(spark.range(5))
+    at = scratch.run_dir(spark).removeprefix("file://")
+    assert df.count() == 5 and os.listdir(at)
+    scratch.release(spark)
+    assert not os.path.exists(at)

@@ -20,12 +20,18 @@ class Annotator(Protocol):
     def ask(self, prompt: str, content: bytes, structured: bool) -> str: ...
 
 
-#: Adapters by name: functions without arguments that open a client, called once for each partition.
-PROVIDERS: dict[str, Callable[[], Annotator]] = {}
+#: Adapters by name: functions that open a client, called once for each partition, with the model's name if one is asked for.
+PROVIDERS: dict[str, Callable[..., Annotator]] = {}
+#: Environment variables that hold adapters' keys.
+SECRETS: dict[str, str] = {}
 
 
-def register(name: str, factory: Callable[[], Annotator]) -> None:
+def register(name: str, factory: Callable[..., Annotator], secret: str | None = None) -> None:
+    """secret names the environment variable, on all executors, that the adapter takes its key from."""
     PROVIDERS[name] = factory
+    SECRETS.pop(name, None)
+    if secret:
+        SECRETS[name] = secret
 
 
 def pending(images: DataFrame, labels: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -49,6 +55,8 @@ def annotate(images: DataFrame, factory: Callable[[], Annotator], classes: list[
             for path, content, w, h in zip(b["path"], b["content"], b["w"], b["h"], strict=True):
                 raw, again, lines, error = None, False, [], None
                 try:
+                    if not w or not h:
+                        raise ValueError("no image that can be read")
                     text = prompt_text(int(w), int(h), classes, notes)
                     raw = client.ask(text, content, True)
                     lines = reply_lines(raw, n)

@@ -16,7 +16,7 @@ from ..functions.boxes import main_class
 from ..functions.paths import label_path
 from ..operators import dedup, sampling
 from ..sources.files import read_labels, read_tree
-from ..sources.images import with_metadata
+from ..sources.images import made_aside, with_metadata
 from ..sources.scratch import settle
 
 
@@ -87,7 +87,8 @@ def plan(images: DataFrame, subsets: list[str], targets: dict[str, int | None] |
 
 def scan(spark: SparkSession, root: str, subsets: list[str], layout: str = "auto", undecodable: str = "cluster") -> DataFrame:
     """The images table of a tree, with metadata and main classes from the label files."""
-    files = with_metadata(read_tree(spark, root, subsets, layout), undecodable)
+    aside = made_aside(spark)
+    files = with_metadata(read_tree(spark, root, subsets, layout, content=False, measure=aside), undecodable, aside)
     home = F.concat(F.lit(root.rstrip("/") + "/"), F.col("subset"))
     images = files.withColumnRenamed("path", "image").withColumn("label", label_path(F.col("image"), home))
     lines = read_labels(spark, root, subsets).select(F.col("path").alias("label"), main_class(F.split(F.col("content").cast("string"), r"\R")).alias("cls"))
@@ -96,8 +97,12 @@ def scan(spark: SparkSession, root: str, subsets: list[str], layout: str = "auto
 
 
 def write_plan(p: Plan, path: str) -> dict:
-    """The removals as JSON lines under path, split into a folder for each reason, and the summary beside them."""
-    p.removals().write.mode("overwrite").partitionBy("reason").json(os.path.join(path, "removals"))
+    """The removals as JSON lines under path, split into a folder for each reason, and the summary beside them.
+
+    Rows are in the order of the named splits, then of the paths, over the part files in their order.
+    """
+    place = F.array_position(F.lit(p.subsets), F.col("subset"))
+    p.removals().orderBy("reason", place, "image").write.mode("overwrite").partitionBy("reason").json(os.path.join(path, "removals"))
     s = p.summary()
     with open(os.path.join(path, "summary.json"), "w", encoding="utf-8") as f:
         json.dump(s, f, indent=2)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import json
+import logging
 import os
 import sys
 
@@ -14,10 +16,13 @@ from ..functions.paths import flat_label_path
 from ..operators import annotate as model
 from ..sources import config as cfg
 from ..sources.files import read_tree
-from ..sources.images import with_metadata
+from ..sources.images import with_size
+from ..sources.scratch import release, settle
 from ..sources.video import frames, write_frames
 from . import cleanup
 
+log = logging.getLogger("tidewell")
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("tidewell").config("spark.speculation", "false").getOrCreate()
@@ -38,7 +43,8 @@ def run_cleanup(a: argparse.Namespace) -> int:
         planned = spark.read.schema("subset string, image string, label string").json(os.path.join(backup, "removals"))
         done = cleanup.apply(planned, a.root, backup).groupBy("image_status", "label_status").count().collect()
         for r in done:
-            print(f"{r['count']}: image {r.image_status}, label {r.label_status}")
+            bad = {r.image_status, r.label_status} - {"moved", "none", "missing"}
+            log.log(logging.WARNING if bad else logging.INFO, "%d: image %s, label %s", r["count"], r.image_status, r.label_status)
     return 0
 
 
@@ -46,26 +52,32 @@ def run_label(a: argparse.Namespace) -> int:
     if a.provider not in model.PROVIDERS:
         print(f"no provider is registered as {a.provider}", file=sys.stderr)
         return 1
+    if (secret := model.SECRETS.get(a.provider)) and not os.environ.get(secret):
+        print(f"{secret} isn't set", file=sys.stderr)
+        return 1
     try:
         config = cfg.load_config(a.config)
     except (cfg.ConfigMissing, cfg.ConfigInvalid) as e:
         print(e, file=sys.stderr)
         return 3 if isinstance(e, cfg.ConfigMissing) else 4
     spark = session()
-    images = with_metadata(read_tree(spark, a.images, layout="plain"), "keep").select("path", "w", "h").join(read_tree(spark, a.images, layout="plain").select("path", "content"), "path")
+    images = with_size(read_tree(spark, a.images, layout="plain")).select("path", "w", "h", "content")
     images = images.withColumn("label_path", flat_label_path(F.col("path"), F.lit(a.out_dir) if a.out_dir else None))
-    if not images.limit(1).count():
+    if not read_tree(spark, a.images, layout="plain", content=False).limit(1).count():
         print("no images", file=sys.stderr)
         return 2
     there = read_tree(spark, a.out_dir or (a.images if os.path.isdir(a.images) else os.path.dirname(a.images)), layout="plain", suffixes=(".txt",), content=False)
     todo = model.pending(images, there, a.overwrite)
-    got = model.annotate(todo, model.PROVIDERS[a.provider], config["classes"], config.get("prompt_notes", ""), a.strict_fallback, a.requests)
-    got = got.join(todo.select("path", "label_path"), "path").persist()
+    factory = model.PROVIDERS[a.provider]
+    got = model.annotate(todo, functools.partial(factory, a.model) if a.model else factory, config["classes"], config.get("prompt_notes", ""), a.strict_fallback, a.requests)
+    got = settle(got.withColumn("label_path", flat_label_path(F.col("path"), F.lit(a.out_dir) if a.out_dir else None)))  # asked once
     model.write_labels(got)
     if a.save_raw:
         got.select("path", "raw").write.mode("overwrite").json(a.save_raw)
     for r in got.where("error is not null").select("path", "error").toLocalIterator():
         print(f"{r.path}: {r.error}", file=sys.stderr)
+    n = got.agg(F.count_if(F.col("error").isNull()).alias("files"), F.sum(F.when(F.col("error").isNull(), F.col("n"))).alias("boxes"), F.count_if("used_fallback").alias("again"), F.count("error").alias("failed")).first()
+    log.info("wrote %d label files with %d boxes, %d by the fallback; %d images failed", n.files, n.boxes or 0, n.again, n.failed)
     return 0
 
 
@@ -81,8 +93,12 @@ def run_config(a: argparse.Namespace) -> int:
 
 def run_frames(a: argparse.Namespace) -> int:
     spark = session()
-    found = frames(read_tree(spark, a.video, layout="plain", suffixes=(os.path.splitext(a.video)[1].lower(),)))
+    if not os.path.isfile(a.video):
+        print(f"no video at {a.video}", file=sys.stderr)
+        return 2
+    found = settle(frames(read_tree(spark, a.video, layout="plain", suffixes=(os.path.splitext(a.video)[1].lower(),)), strict=True))
     write_frames(found, a.out)
+    log.info("wrote %d frames to %s", found.count(), a.out)
     return 0
 
 
@@ -105,6 +121,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--images", required=True)
     c.add_argument("--out-dir")
     c.add_argument("--provider", required=True)
+    c.add_argument("--model", help="handed to the provider, which has its own by default")
     c.add_argument("--overwrite", action="store_true")
     c.add_argument("--save-raw")
     c.add_argument("--strict-fallback", action="store_true")
@@ -124,8 +141,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
+    logging.basicConfig(level=logging.INFO, format="%(levelname)s %(message)s")
     a = parser().parse_args(argv)
-    return a.run(a)
+    try:
+        return a.run(a)
+    finally:
+        if (spark := SparkSession.getActiveSession()) is not None:
+            release(spark)
 
 
 if __name__ == "__main__":

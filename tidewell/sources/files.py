@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import EXTENSIONS
+from .images import measured
 
 SCHEMA = "subset string, path string, length long, sha256 string, content binary"
+MEASURED_SCHEMA = SCHEMA.replace("content binary", "w int, h int, grid array<int>, status string")
 BACKUP = "backup_removed_"
 
 
@@ -63,6 +65,7 @@ class TreeReader(DataSourceReader):
         self.subsets = [s for s in options.get("subsets", "").split(",") if s] if self.layout != "plain" else [""]
         self.suffixes = tuple(options.get("suffixes", ",".join(EXTENSIONS)).split(","))
         self.content = options.get("content", "true").lower() == "true"
+        self.aside = options.get("measure")
         self.most = int(options.get("partitionbytes", 64 << 20))
         if len(set(self.subsets)) < len(self.subsets):
             raise ValueError("a split is named twice")
@@ -84,35 +87,44 @@ class TreeReader(DataSourceReader):
             digest, data = hashlib.sha256(), None
             try:
                 with open(path, "rb") as f:
-                    if self.content:
+                    if self.content or self.aside:
                         data = f.read()
                         digest.update(data)
                     else:
                         while block := f.read(1 << 20):
                             digest.update(block)
-                yield s, path, n, digest.hexdigest(), data
+                sha = digest.hexdigest()
             except OSError:
-                yield s, path, n, None, None
+                sha = data = None
+            yield (s, path, n, sha, *measured(data, sha, self.aside)) if self.aside else (s, path, n, sha, data)
 
 
 class TreeSource(DataSource):
-    """Format file_tree: options root or path, subsets, layout (images, auto, plain), suffixes, content, partitionBytes."""
+    """Format file_tree: options root or path, subsets, layout (images, auto, plain), suffixes, content, partitionBytes.
+
+    The option measure names a folder for images that the JVM is to decode; then each file's size, brightness grid and
+    status are there in place of its content, which never leaves the reader.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "file_tree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return MEASURED_SCHEMA if self.options.get("measure") else SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, subsets: list[str] | None = None, layout: str = "images", suffixes: tuple[str, ...] = EXTENSIONS, content: bool = True) -> DataFrame:
-    """(subset, path, length, sha256, content) of a tree; a file that can't be read has a null digest."""
+def read_tree(spark: SparkSession, root: str, subsets: list[str] | None = None, layout: str = "images", suffixes: tuple[str, ...] = EXTENSIONS, content: bool = True, measure: str | None = None) -> DataFrame:
+    """(subset, path, length, sha256, content) of a tree; a file that can't be read has a null digest.
+
+    With measure, a folder, it has w, h, grid and status in place of content.
+    """
     spark.dataSource.register(TreeSource)
     r = spark.read.format("file_tree").option("root", root).option("layout", layout).option("suffixes", ",".join(suffixes)).option("content", str(content).lower())
+    r = r.option("measure", measure) if measure else r
     return r.option("subsets", ",".join(subsets or [])).load()
 
 

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: The folder of this process below each shared one.
+_runs: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,9 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one, which goes when its JVM ends."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key not in _runs:
+        _runs[key] = f"{key[1]}/tidewell-{uuid.uuid4().hex}"
+        fs, p = _path(spark, _runs[key])
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return _runs[key]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that was settled so far; results that were not yet computed from it are lost."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key in _runs:
+        fs, p = _path(spark, _runs.pop(key))
+        fs.delete(p, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df written once to the shared folder, and read from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import logging
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -28,11 +30,13 @@ def opencv_frames(content: bytes) -> Iterator[bytes]:
     """Every frame of a video that OpenCV reads, as JPEG."""
     import cv2
 
-    with tempfile.NamedTemporaryFile(suffix=".video") as f:  # OpenCV only opens files; it lives as long as this call
+    with tempfile.NamedTemporaryFile(suffix=".video") as f:  # OpenCV only opens files; nothing outlives this call
         f.write(content)
         f.flush()
         video = cv2.VideoCapture(f.name)
         try:
+            if not video.isOpened():
+                raise ValueError("OpenCV can't open it")
             while True:
                 ok, frame = video.read()
                 if not ok:
@@ -42,8 +46,23 @@ def opencv_frames(content: bytes) -> Iterator[bytes]:
             video.release()
 
 
-def frames(videos: DataFrame, decoder: Callable[[bytes], Iterator[bytes]] = jpeg_frames) -> DataFrame:
-    """(path, frame_no, name, content) of every frame of videos (path, content), numbered from 0; none of what can't be read."""
+def decode(content: bytes) -> Iterator[bytes]:
+    """The frames of a video: by OpenCV where it is installed, else of motion JPEG alone; ValueError for what isn't read."""
+    if importlib.util.find_spec("cv2"):
+        yield from opencv_frames(content)
+        return
+    n = 0
+    for n, data in enumerate(jpeg_frames(content), 1):
+        yield data
+    if not n:
+        raise ValueError("no motion JPEG, and OpenCV isn't installed")
+
+
+def frames(videos: DataFrame, decoder: Callable[[bytes], Iterator[bytes]] = decode, strict: bool = False) -> DataFrame:
+    """(path, frame_no, name, content) of every frame of videos (path, content), numbered from 0.
+
+    What can't be read has no frames and is logged, or with strict fails.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -52,7 +71,9 @@ def frames(videos: DataFrame, decoder: Callable[[bytes], Iterator[bytes]] = jpeg
                     for i, data in enumerate(decoder(bytes(content or b""))):
                         yield pd.DataFrame({"path": [path], "frame_no": [i], "content": [data]})
                 except Exception as e:
-                    print(f"can't read {path}: {e}")
+                    if strict:
+                        raise RuntimeError(f"can't read {path}: {e}") from e
+                    logging.getLogger(__name__).warning("can't read %s: %s", path, e)
 
     out = videos.select("path", "content").mapInPandas(run, "path string, frame_no int, content binary")
     return out.select("path", "frame_no", frame_name(F.col("frame_no")).alias("name"), "content")
