@@ -26,13 +26,25 @@ WIDE = 1024
 # ---- fingerprints ----------------------------------------------------------------------------------------------------
 
 
-def fold(doc: np.ndarray, code: np.ndarray, sign: np.ndarray, n: int, step: int = 65_536) -> np.ndarray:
-    """For n documents, the sums of the signs (distinct words x 128 of -1 and 1) of their words; doc is sorted."""
+def fold(doc: np.ndarray, code: np.ndarray, bits: np.ndarray, n: int, step: int = 65_536) -> np.ndarray:
+    """For n documents, in how many of their words each bit is set; doc is sorted.
+
+    bits has a byte for each of a word's 128 bits, eight to a number: 255 words can be added before a byte is full.
+    """
     out = np.zeros((n, BITS), np.int32)
-    for i in range(0, len(doc), step):
-        d = doc[i : i + step]
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        out[d[first]] += np.add.reduceat(sign[code[i : i + step]], first, axis=0, dtype=np.int32)
+    if not len(doc):
+        return out
+    at = np.arange(len(doc))
+    new = np.r_[True, doc[1:] != doc[:-1]]
+    run = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % 255 == 0)
+    cut = np.r_[np.searchsorted(run, np.arange(0, len(doc), step)), len(run)]
+    for i, j in zip(cut, cut[1:], strict=False):
+        if i < j:
+            s, e = run[i], run[j] if j < len(run) else len(doc)
+            some = np.add.reduceat(bits[code[s:e]], run[i:j] - s, axis=0).view(np.uint8)
+            d = doc[run[i:j]]
+            first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            out[d[first]] += np.add.reduceat(some, first, axis=0, dtype=np.int32)
     return out
 
 
@@ -42,10 +54,12 @@ def prints(text: pa.Array, cache: dict[str, bytes]) -> np.ndarray:
     codes, names = coded(flat)
     n = np.diff(off)
     doc = np.repeat(np.arange(len(text)), n)
-    both = np.unique((doc.astype(np.int64) << 32) | codes)
-    sign = np.unpackbits(digests(names, cache), axis=1).astype(np.int8) * 2 - 1
-    sums = fold(both >> 32, both & 0xFFFFFFFF, sign, len(text))
-    out = np.packbits(sums > 0, axis=1)
+    both = np.sort((doc.astype(np.int64) << 32) | codes)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    bits = np.unpackbits(digests(names, cache), axis=1).view(np.uint64)
+    doc = both >> 32
+    sums = fold(doc, both & 0xFFFFFFFF, bits, len(text))
+    out = np.packbits(2 * sums > np.bincount(doc, minlength=len(text))[:, None], axis=1)
     for i in np.flatnonzero(n == 0):
         out[i] = np.frombuffer(hashlib.md5((text[int(i)].as_py() or "").encode(), usedforsecurity=False).digest(), np.uint8)
     return out
