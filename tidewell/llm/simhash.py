@@ -15,10 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import union_find
 from .common import coded, col, digests, every, load, settle, slices, texts, tune, word_lists
 
-#: Bits of a fingerprint; the most that near-duplicates may differ in; tables of sampled bits, and bits of a key.
-BITS, RADIUS, TABLES, KEY_BITS = 128, 19, 32, 16
+#: Bits of a fingerprint; the most that near-duplicates may differ in; tables of sampled bits, and bits of a key, at least.
+BITS, RADIUS, TABLES, KEY_BITS = 128, 19, 48, 16
+#: Fingerprints that share a key by chance, about, from which keys grow; rows of a bucket that one task compares.
+CROWD, SPLIT = 256, 131_072
+#: Ids, 8 bytes each, that are sent to every executor at most.
+FEW = 2_000_000
 #: Lanes from which a bucket is searched outwards from one document at a time instead of by shifts.
 WIDE = 1024
 
@@ -287,13 +292,36 @@ def table_bits(tables: int = TABLES, key_bits: int = KEY_BITS) -> np.ndarray:
     return np.array(out)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tables: int = TABLES, key_bits: int = KEY_BITS) -> DataFrame:
+def tables_for(n: int, radius: int = RADIUS) -> tuple[int, int]:
+    """(tables, key bits) for n fingerprints.
+
+    Keys grow by a bit whenever n doubles, so that no more than CROWD fingerprints share one by chance and the work is in
+    proportion to n. Longer keys meet less often, so tables are added until as few pairs at the radius are missed as by
+    TABLES tables of KEY_BITS bits.
+    """
+    bits = max(KEY_BITS, int(np.ceil(np.log2(max(n, 1) / CROWD))))
+
+    def alike(k: int) -> float:
+        """How likely it is that none of k bits is among those that differ."""
+        return float(np.prod((BITS - radius - np.arange(k)) / (BITS - np.arange(k))))
+
+    if bits == KEY_BITS:
+        return TABLES, bits
+    # an eighth more, as fewer groups of one permutation fit side by side
+    return int(np.ceil(1.125 * TABLES * np.log1p(-alike(KEY_BITS)) / np.log1p(-alike(bits)))), bits
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tables: int | None = None, key_bits: int | None = None, split: int = SPLIT) -> DataFrame:
     """(a, b) with a < b: links between the ids of distinct fingerprints (id, fp) that connect near pairs.
 
-    Fingerprints meet in a table if they agree in its sampled bits. The tables are four permutations of eight disjoint
-    groups each, so a pair at distance d is missed if it differs in all of them: never at 6, 1 in 5,700 at 12, 1 in 10 at
-    19. No bucket is cut short.
+    Fingerprints meet in a table if they agree in its sampled bits. The tables are permutations of disjoint groups of
+    bits, so with 48 tables of 16 bits a pair at distance d is missed if it differs in all of them: never at 6, 1 in 33 at
+    19. Of the near pairs that meet in a task, as many links come out as connect what they connect, so that copies of
+    copies never make more links than there are rows. No bucket is cut short: one of more than about `split` rows, as a
+    sample of the fingerprints counts them, is cut into blocks, every two of which meet in a task of their own.
     """
+    if tables is None or key_bits is None:
+        tables, key_bits = tables_for(distinct.count(), radius)
     chosen = table_bits(tables, key_bits)
     keyed = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("fp", pa.binary())])
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -322,8 +350,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, tables: int = TABLES, key_b
                 return
             a, b = linked(fp[:cut], k[:cut], radius)
             held, count = ([(k[cut:], i[cut:], fp[cut:])] if cut < len(k) else []), 0
-            lo, hi = np.minimum(i[a], i[b]), np.maximum(i[a], i[b])
-            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], schema=edge)
+            if len(a):
+                near, root = union_find(i[a], i[b])
+                far = near != root
+                yield pa.RecordBatch.from_arrays([pa.array(root[far], pa.int64()), pa.array(near[far], pa.int64())], schema=edge)
 
         for b in batches:
             if b.num_rows:
@@ -334,9 +364,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, tables: int = TABLES, key_b
         if held:
             yield from solve(True)
 
-    met = distinct.select("id", "fp").mapInArrow(key, "bucket long, id long, fp binary")
-    met = met.repartition("bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(search, "a long, b long").where(F.col("a") != F.col("b")).distinct()
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.select("id", "fp").mapInArrow(key, "bucket long, id long, fp binary")
+
+    one_in = max(1, min(64, split // 2048))
+    some = met(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    hot = settle(some.where(F.col("n") * one_in > split).select(F.col("bucket").alias("__hot"), F.ceil(2 * F.col("n") * one_in / split).cast("long").alias("__c")))
+    rows = met(distinct)
+    if hot.limit(1).count():
+        # block r of c meets every block x, itself too: the pair's key stands for a bucket
+        both = rows.join(hot, F.col("bucket") == F.col("__hot"), "left")
+        own = F.pmod(F.xxhash64("id"), F.col("__c"))
+        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("__c") - 1), lambda x: F.xxhash64("bucket", F.least(x, own), F.greatest(x, own)))
+        rows = both.select(F.explode(F.when(F.col("__c").isNull(), F.array("bucket")).otherwise(pair)).alias("bucket"), "id", "fp")
+    met_rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return met_rows.mapInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -388,9 +430,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows with a null id or text stay. Of rows that share an id which stays, one remains for each different text.
     """
     printed = settle(fingerprints(docs, id_col, text_col))
-    gone = copies(printed, radius).select(F.col("doc_id").alias("__gone"))
+    gone = settle(copies(printed, radius).select(F.col("doc_id").alias("__gone")))
+    # few ids go to every executor, so that no text is moved; more of them meet the texts by hash, without sorting these
+    gone = F.broadcast(gone) if gone.count() <= FEW else gone.hint("shuffle_hash")
     row = docs.select(F.struct(*every(docs)).alias("__row"), col(id_col).cast("long").alias("__id"), col(text_col).cast("string").isNotNull().alias("__has"))
-    kept = row.join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("__gone")) & F.col("__has"), "left_anti")
+    open_ = F.col("__has") & F.col("__id").isNotNull()  # the others stay where they are, whatever their number
+    kept = row.where(open_).join(gone, F.col("__id") == F.col("__gone"), "left_anti").unionByName(row.where(~open_))
     twice = settle(printed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__twice")))
     if twice.limit(1).count():
         text = F.col("__row").getField(text_col).cast("string")
