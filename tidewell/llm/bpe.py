@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import col, load, slices, texts, tune
@@ -36,7 +37,14 @@ class Table:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_of_char()
-        by_id = {i: bytes(back[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        try:
+            by_id = {i: bytes(back[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        except (KeyError, TypeError, AttributeError) as e:
+            raise ValueError(f"{path} has no byte-level vocabulary") from e
+        if spec["model"].get("end_of_word_suffix") or spec["model"].get("continuing_subword_prefix") or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+            raise ValueError(f"{path} is not purely byte-level: it marks words besides")
+        # the rule that cuts() knows; texts go whole through any other
+        self.known_rule = spec.get("normalizer") is None and spec.get("pre_tokenizer") == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         by_id |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
         self.tokens = [by_id.get(i, b"\xef\xbf\xbd") for i in range(max(by_id) + 1)]
         self.tokens.append(b"\xef\xbf\xbd")  # for any id that the vocabulary lacks
@@ -113,7 +121,7 @@ class Encoder:
         off = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
         raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
         off = off - off[0]
-        first = cuts(raw)
+        first = cuts(raw) if self.table.known_rule else np.zeros(len(raw), bool)
         first[off[:-1][off[:-1] < len(raw)]] = True
         start = np.flatnonzero(first)
         ends = np.append(start, len(raw)).astype(np.int64)
@@ -137,7 +145,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     split character cover it all. round_trip says that what decode does with the ids gives the text back whole, with nothing
     left at either end. A null text has null
     everywhere, an empty one no tokens; strings of special tokens in a text are ordinary text. Texts of any length are
-    encoded whole, repeated rows and null ids give rows of their own, other columns are ignored.
+    encoded whole, repeated rows and null ids give rows of their own, other columns are ignored. Ids are whole numbers or
+    texts of such; any other is an error, and so is a tokenizer without a byte-level vocabulary. Each row is judged alone.
     """
     tune(docs.sparkSession)
     slim = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
@@ -150,7 +159,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for b in slices(batches, "text", BATCH):
             t = texts(b, "text")
             null = np.asarray(t.is_null())
-            ids, n, raw, _ = encoder.encode(t.fill_null(""))
+            ids, n, raw, doc_at = encoder.encode(t.fill_null(""))
+            doc_at = doc_at[:-1]
             off = np.concatenate([[0], np.cumsum(n)])
             data, size = table.bytes_of(ids)
             ends = np.cumsum(size)
@@ -160,7 +170,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             base = np.repeat(np.concatenate([[0], char])[doc_end[:-1]] if len(data) else np.zeros(len(n), np.int64), n)
             first = (char[ends - size] - 1 - base).astype(np.int32) if len(ids) else ids
             last = (char[ends - 1] - base).astype(np.int32) if len(ids) else ids
-            same = [decoded(table, ids[i:j]) == (b"", x or "", b"") for i, j, x in zip(off[:-1], off[1:], t.to_pylist(), strict=True)]
+            begin = np.concatenate([doc_at, [len(raw)]])[: len(n) + 1]
+            if np.array_equal(doc_end, begin) and whole_characters(data.tobytes()) == (b"", raw.tobytes().decode(), b""):
+                same = [True] * len(n)  # each text's bytes are as many as they were, and all together decode to the same
+            else:
+                same = [decoded(table, ids[i:j]) == (b"", x or "", b"") for i, j, x in zip(off[:-1], off[1:], t.to_pylist(), strict=True)]
             mask = pa.array(null)
             lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x, pa.int32()), mask=mask) for x in (ids, first, last)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64(), mask=null), *lists, pa.array(same, mask=null)], schema=out)
@@ -182,6 +196,11 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(tokenizer, "table")
         for b in batches:
+            whole = self_contained(table, b.column(1))
+            if whole is not None:
+                none = pa.array([None if x else b"" for x in np.asarray(b.column(1).is_null())], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), whole, none, none], schema=out)
+                continue
             text: list[str | None] = []
             head: list[bytes | None] = []
             tail: list[bytes | None] = []
@@ -197,6 +216,20 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", toke
     return slim.mapInArrow(run, "id long, text string, head binary, tail binary").withColumnRenamed("id", id_col)
 
 
+def self_contained(table: Table, lists: pa.ListArray) -> pa.Array | None:
+    """The texts of all rows at once, if none begins or ends within a character or holds broken ones; else None."""
+    off = np.asarray(lists.offsets).astype(np.int64)
+    ids = np.asarray(lists.values.fill_null(-1), dtype=np.int64)[off[0] : off[-1]]
+    data, size = table.bytes_of(table.known(ids))
+    ends = np.concatenate([[0], np.cumsum(size)])[off - off[0]]
+    made = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    try:
+        made.validate(full=True)
+    except pa.ArrowInvalid:
+        return None
+    return pc.if_else(lists.is_valid(), made, None).cast(pa.string())
+
+
 def decoded(table: Table, ids: np.ndarray) -> tuple[bytes, str, bytes]:
     """Head, text and tail of one row of ids, as decode gives them."""
     return whole_characters(table.bytes_of(table.known(ids))[0].tobytes())
