@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, load
+from .common import col, load, settle
 
 #: Headers that a 304 reply may update; everything that describes the stored body itself stays as it was.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -51,7 +51,13 @@ def merged(stored: Column, fresh: Column) -> Column:
     return F.array_join(F.array_sort(F.concat(F.filter(as_lines(stored), lambda x: ~F.array_contains(names, name(x))), new)), "\n")
 
 
-def resolve(records: DataFrame) -> DataFrame:
+#: Types of captured_at that are numbers; others are times.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+#: Captures of one URL beyond which its time is cut into stretches of about so many.
+RUN = 100_000
+
+
+def resolve(records: DataFrame, run: int = RUN) -> DataFrame:
     """(record_id, canonical_url, captured_at, source_id, status, headers) for every revisit.
 
     records has record_id, url, captured_at, kind (response or revisit) and headers (lines of name: value). source_id is
@@ -59,19 +65,41 @@ def resolve(records: DataFrame) -> DataFrame:
     resolved if the validators agree (ETags compared weakly where both have one, else equal Last-Modified), mismatch if
     they differ, unverified if they can't be compared, missing without an earlier response. headers are merged if
     resolved, else the revisit's own. A revisit with a null URL or time is missing, such responses resolve nothing;
-    repeated rows give rows of their own, other kinds and columns are ignored.
+    repeated rows give rows of their own, other kinds and columns are ignored, and so are responses without a record_id.
+    captured_at is a number, a date or a time. An empty table gives none. A URL of more than `run` captures is worked on
+    in stretches of its time, each a task of its own.
     """
     r = records.select(
         col("record_id").cast("long").alias("record_id"), canonical(col("url")).alias("canonical_url"), col("captured_at").alias("captured_at"),
         col("kind").alias("kind"), col("headers").cast("string").alias("headers"),
     ).where(F.col("kind").isin("response", "revisit"))
     usable = (F.col("kind") == "response") & F.col("canonical_url").isNotNull() & F.col("captured_at").isNotNull() & F.col("record_id").isNotNull()
+    # A URL of many captures is several stretches of time; what comes before a stretch is the last response of earlier ones.
+    at = F.col("captured_at").cast("double") if dict(r.dtypes)["captured_at"] in NUMBERS or dict(r.dtypes)["captured_at"].startswith("decimal") else F.col("captured_at").cast("timestamp").cast("double")
+    r = r.withColumn("__t", at)
+    ranges = r.where(F.col("canonical_url").isNotNull()).groupBy(F.col("canonical_url").alias("__u")).agg(F.count(F.lit(1)).alias("__n"), F.min("__t").alias("__lo"), F.max("__t").alias("__hi"))
+    hot = settle(ranges.where((F.col("__n") > run) & (F.col("__hi") > F.col("__lo"))))
+    split = hot.limit(1).count() > 0
+    if split:
+        place = F.floor((F.col("__t") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.ceil(F.col("__n") / run)).cast("long")
+        r = r.join(hot, F.col("canonical_url") == F.col("__u"), "left").withColumn("__b", F.coalesce(place, F.lit(0).cast("long"))).drop("__u", "__n", "__lo", "__hi")
+    else:
+        r = r.withColumn("__b", F.lit(0).cast("long"))
     # At one time revisits come first, so that they only see what is strictly earlier.
-    asof = Window.partitionBy("canonical_url").orderBy("captured_at", F.col("kind") == "response", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asof = Window.partitionBy("canonical_url", "__b").orderBy("captured_at", F.col("kind") == "response", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A null URL is no URL: its rows get a key of their own, so that they don't gather in one task.
     none = r.where(F.col("canonical_url").isNull() & (F.col("kind") == "revisit")).withColumn("__s", F.lit(None).cast("struct<id:bigint,headers:string>"))
     some = r.where(F.col("canonical_url").isNotNull())
     some = some.withColumn("__s", F.last(F.when(usable, F.struct(F.col("record_id").alias("id"), "headers")), ignorenulls=True).over(asof)).where(F.col("kind") == "revisit")
+    if split:
+        last = F.max(F.when(usable, F.struct("captured_at", F.col("record_id").alias("id"), "headers")))
+        # only URLs of several stretches have any to carry over; each stretch is one row here
+        cut = r.join(hot.select("__u"), F.col("canonical_url") == F.col("__u"), "left_semi")
+        ends = cut.groupBy("canonical_url", "__b").agg(last.alias("__e"))
+        earlier = Window.partitionBy("canonical_url").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("canonical_url").alias("__u"), F.col("__b").alias("__v"), F.last("__e", ignorenulls=True).over(earlier).alias("__w")).where(F.col("__w").isNotNull())
+        some = some.join(carried, (F.col("canonical_url") == F.col("__u")) & (F.col("__b") == F.col("__v")), "left")
+        some = some.withColumn("__s", F.coalesce("__s", F.when(F.col("__w").isNotNull(), F.struct(F.col("__w.id").alias("id"), F.col("__w.headers").alias("headers"))))).drop("__u", "__v", "__w")
     both = some.unionByName(none).withColumn("__s", F.when(F.col("captured_at").isNotNull(), F.col("__s")))
     weak = lambda h: F.regexp_replace(header(h, "etag"), "^W/", "")
     s, h = F.col("__s.headers"), F.col("headers")
@@ -82,8 +110,12 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def with_payload(resolved: DataFrame, payloads: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """The resolved revisits with the payload of their source; the others have null. Ids must be unique in payloads."""
-    p = payloads.select(col(id_col).cast("long").alias("__id"), col(payload_col).alias("payload"))
+    """The resolved revisits with the payload of their source; the others have null.
+
+    Of payloads that share an id the smallest counts, null ids are nobody's; an empty table of payloads gives null to all.
+    """
+    p = payloads.select(col(id_col).cast("long").alias("__id"), col(payload_col).alias("__p")).where(F.col("__id").isNotNull())
+    p = p.groupBy("__id").agg(F.min("__p").alias("payload"))
     use = F.when(F.col("status") == "resolved", F.col("source_id"))
     return resolved.join(p, use == F.col("__id"), "left").drop("__id")
 
