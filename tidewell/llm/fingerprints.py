@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import coded, col, digests, load, slices, texts, tune, word_lists
+from .common import coded, col, digests, load, settle, slices, texts, tune, word_lists
 
 #: Words of a shingle; one shingle in SCALE is kept.
 WORDS, SCALE = 5, 16
@@ -50,7 +50,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     Words are lower-cased runs of letters and digits. A text of 1 to k-1 words is one shingle; a text without words has
     n_shingles 0 and an empty sketch; a null text has both null. Repeated rows and null ids give rows of their own, other
-    columns are ignored, an empty table gives none.
+    columns are ignored, an empty table gives none. Ids are whole numbers or texts of such; any other is an error.
     """
     tune(docs.sparkSession)
     below = P1 // scale
@@ -81,23 +81,42 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def merge(sketched: DataFrame, by: list[str], sketch_col: str = "sketch") -> DataFrame:
-    """One sketch for each group: the distinct union, the same as the sketch of all texts taken together as a set of shingles.
+    """(by..., sketch_col): one sketch for each group, the same as that of all its texts taken together as a set of shingles.
 
-    Null sketches add nothing; a group of only null or empty sketches gets an empty one.
+    Null keys are a group like any other. Null sketches add nothing; a group of only null or empty sketches gets an empty
+    one; repeated rows change nothing; an empty table gives none.
     """
-    one = sketched.select(*[col(c) for c in by], F.explode_outer(col(sketch_col)).alias("__h")).distinct()
-    return one.groupBy(*[col(c) for c in by]).agg(F.sort_array(F.collect_list("__h")).alias("sketch"))
+    h = "__h"
+    while h in by:
+        h += "_"
+    one = sketched.select(*[col(c) for c in by], F.explode_outer(col(sketch_col)).alias(h)).distinct()
+    return one.groupBy(*[col(c) for c in by]).agg(F.sort_array(F.collect_list(col(h))).alias(sketch_col))
 
 
-def containment(left: DataFrame, right: DataFrame, left_id: str, right_id: str, at_least: float = 0.5) -> DataFrame:
+def containment(left: DataFrame, right: DataFrame, left_id: str, right_id: str, at_least: float = 0.5, sketch_col: str = "sketch") -> DataFrame:
     """(left_id, right_id, shared, containment): the share of the left sketch's hashes that the right one has too.
 
-    Every row of both sides takes part; empty and null sketches have no containment and no rows. The ids must be unique.
+    Every row of both sides takes part. Rows that share an id are one document, with all their hashes; null ids are one
+    too. Empty and null sketches have no containment and no rows. If both ids have one name, the right one's gets `_right`.
+
+    A pair that shares enough must share one of the left's rarest hashes: of n, all but the commonest that it could do
+    without. Only those are joined, and what they bring together is counted in full, so that a shingle that thousands of
+    documents hold pairs none of them by itself.
     """
-    a = left.select(col(left_id).alias("__a"), F.size("sketch").alias("__n"), F.explode("sketch").alias("__h"))
-    b = right.select(col(right_id).alias("__b"), F.explode("sketch").alias("__h"))
-    both = a.join(b, "__h").groupBy("__a", "__b", "__n").agg(F.count(F.lit(1)).alias("shared"))
-    return both.select(col("__a").alias(left_id), col("__b").alias(right_id), "shared", (F.col("shared") / F.col("__n")).alias("containment")).where(F.col("containment") >= at_least)
+    a = left.select(col(left_id).alias("__a"), F.explode(col(sketch_col)).alias("__h")).distinct()
+    b = right.select(col(right_id).alias("__b"), F.explode(col(sketch_col)).alias("__g")).distinct()
+    held = b.groupBy("__g").agg(F.count(F.lit(1)).alias("__k"))
+    known = a.join(held, F.col("__h") == F.col("__g"), "left").select("__a", "__h", F.coalesce("__k", F.lit(0)).alias("__k"))
+    listed = known.groupBy("__a").agg(F.array_sort(F.collect_list(F.struct("__k", "__h"))).alias("__l")).withColumn("__n", F.size("__l"))
+    need = F.greatest(F.ceil(F.col("__n") * at_least - 1e-9), F.lit(1))
+    rare = listed.select("__a", F.explode(F.slice("__l", F.lit(1), (F.col("__n") - need + 1).cast("int"))).alias("__x")).where("__x.__k > 0").select("__a", F.col("__x.__h").alias("__h"))
+    pairs = rare.join(b, F.col("__h") == F.col("__g")).select("__a", "__b").distinct()
+    whole = b.groupBy(F.col("__b").alias("__c")).agg(F.collect_list("__g").alias("__r"))
+    mine = listed.select(F.col("__a").alias("__d"), "__n", F.transform("__l", lambda x: x["__h"]).alias("__m"))
+    met = pairs.join(mine, F.col("__a").eqNullSafe(F.col("__d"))).join(whole, F.col("__b").eqNullSafe(F.col("__c")))
+    both = met.select("__a", "__b", F.size(F.array_intersect("__m", "__r")).cast("long").alias("shared"), "__n")
+    named = right_id if right_id != left_id else f"{right_id}_right"
+    return both.select(col("__a").alias(left_id), col("__b").alias(named), "shared", (F.col("shared") / F.col("__n")).alias("containment")).where(F.col("containment") >= at_least)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +125,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "n_shingles", F.size("sketch").cast("long").alias("n_kept"), F.array_join("sketch", ",").alias("sketch"))
 
 
+def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's items of which half or more stands in a document, by their sketches, with the document."""
+    items, docs = sketches(load(spark, sf_dir, "benchmark"), "item_id"), sketches(load(spark, sf_dir, "documents"))
+    found = containment(settle(items), settle(docs), "item_id", "doc_id")
+    return found.select("item_id", "doc_id", "shared", F.round("containment", 6).alias("containment"))
+
+
 def _horner(h: str, base: int, p: int) -> str:
     s = "0"
     for t in range(WORDS):
@@ -114,18 +140,29 @@ def _horner(h: str, base: int, p: int) -> str:
     return s
 
 
-SQL = rf"""
-WITH w AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') AS words
-  FROM documents WHERE text IS NOT NULL),
-t AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w WHERE words[1] <> ''),
-h AS (SELECT doc_id, pos, CAST(('0x' || md5(word)[1:7]) AS BIGINT) AS a, CAST(('0x' || md5(word)[8:14]) AS BIGINT) AS b FROM t),
-l AS (SELECT doc_id, pos, a, b, {", ".join(f"lead(a, {t}) OVER d AS a{t}, lead(b, {t}) OVER d AS b{t}" for t in range(1, WORDS))}
-  FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-s AS (SELECT doc_id, {_horner("a", B1, P1)} AS x, {_horner("b", B2, P2)} AS y FROM l WHERE a{WORDS - 1} IS NOT NULL OR pos = 0),
-g AS (SELECT doc_id, count(*) AS n_shingles, list_sort(list(DISTINCT x * 2147483648 + y) FILTER (WHERE x < {P1 // SCALE})) AS k FROM s GROUP BY doc_id)
+def _kept(table: str, key: str, x: str) -> str:
+    """Tables whose names end in x: the last, g, has n_shingles and the kept hashes k of each text that has any."""
+    return rf"""
+w{x} AS (
+  SELECT {key}, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') AS words
+  FROM {table} WHERE text IS NOT NULL),
+t{x} AS (SELECT {key}, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w{x} WHERE words[1] <> ''),
+h{x} AS (SELECT {key}, pos, CAST(('0x' || md5(word)[1:7]) AS BIGINT) AS a, CAST(('0x' || md5(word)[8:14]) AS BIGINT) AS b FROM t{x}),
+l{x} AS (SELECT {key}, pos, a, b, {", ".join(f"lead(a, {t}) OVER d AS a{t}, lead(b, {t}) OVER d AS b{t}" for t in range(1, WORDS))}
+  FROM h{x} WINDOW d AS (PARTITION BY {key} ORDER BY pos)),
+s{x} AS (SELECT {key}, {_horner("a", B1, P1)} AS x, {_horner("b", B2, P2)} AS y FROM l{x} WHERE a{WORDS - 1} IS NOT NULL OR pos = 0),
+g{x} AS (SELECT {key}, count(*) AS n_shingles, list_sort(list(DISTINCT x * 2147483648 + y) FILTER (WHERE x < {P1 // SCALE})) AS k FROM s{x} GROUP BY {key})"""
+
+
+SQL = f"""
+WITH {_kept("documents", "doc_id", "")}
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(g.n_shingles, 0) END AS n_shingles,
   CASE WHEN d.text IS NOT NULL THEN coalesce(len(g.k), 0) END AS n_kept,
   CASE WHEN d.text IS NOT NULL THEN coalesce(array_to_string(g.k, ','), '') END AS sketch
 FROM documents d LEFT JOIN g USING (doc_id)
 """
+CONTAINED = f"""
+WITH {_kept("benchmark", "item_id", "_i")}, {_kept("documents", "doc_id", "_d")},
+i AS (SELECT item_id, len(k) AS n, unnest(k) AS v FROM g_i), d AS (SELECT doc_id, unnest(k) AS v FROM g_d)
+SELECT item_id, doc_id, count(*) AS shared, round(count(*) / n, 6) AS containment FROM i JOIN d USING (v) GROUP BY item_id, doc_id, n HAVING count(*) / n >= 0.5
+"""

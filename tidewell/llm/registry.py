@@ -6,6 +6,7 @@ from . import bpe, chat, fingerprints, mixing, neighbours, pii, quality, simhash
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
+    "benchmark_contained": fingerprints.contained,
     "op2_quality": quality.query,
     "op3_neighbours": neighbours.query,
     "op4_pii": pii.query,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 SQL = {
     "op1_fingerprints": fingerprints.SQL,
+    "benchmark_contained": fingerprints.CONTAINED,
     "op2_quality": quality.SQL,
     "op5_mixing": mixing.SQL,
     "op7_chat": chat.SQL,
