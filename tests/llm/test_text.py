@@ -50,10 +50,21 @@ def hard(spark, tables):
 @pytest.mark.parametrize("name", list(registry.SQL))
 def test_sql(name, matches, spark, hard):
     matches(registry.QUERIES[name], registry.SQL[name], SMALL)
-    if name not in ("op1_fingerprints", "op8_revisits"):  # their SQL joins on ids, so it wants them whole and single
+    if name not in ("op1_fingerprints", "op8_revisits", "benchmark_contained"):  # their SQL joins on ids, so it wants them whole and single
         matches(registry.QUERIES[name], registry.SQL[name], hard)
 
 
+def test_sql_on_odd_rows_with_single_ids(matches, spark, tables):
+    """What the SQL of these queries joins on is whole and single; all else is null, empty, long, tied or repeated."""
+    docs = nasty(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    base = [r.text for r in docs.where("doc_id < 12").orderBy("doc_id").collect()]
+    items = [(i, " ".join(t.split()[3:30])) for i, t in enumerate(base)] + [(50, None), (51, ""), (52, "?!"), (53, base[0]), (54, base[0]), (55, "dup dup dup")]
+    pages = [(0, "https://www.A.com/x/?b=2&a=1&utm_x=3#f", "<p>1"), (1, "http://a.com/x?a=1&b=2", "<p>2"), (3, "a.com:80/x?b=2&a=1", "<p>2"), (4, "", ""), (5, "a.com/x?a=1&b=2", "<p>2"), (70_000, "a.com/x?a=1&b=2", "<p>2")]
+    sf = tables(documents=docs, benchmark=spark.createDataFrame(items, "item_id long, text string"), pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+    for name in ("op1_fingerprints", "benchmark_contained", "op8_revisits"):
+        matches(registry.QUERIES[name], registry.SQL[name], sf)
+
+
 # ---- 1 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -96,6 +107,21 @@ def test_merged_sketches_and_containment(spark):
     assert m["g"] == plain_sketch(" ".join(words))[1] and m["h"] == plain_sketch(" ".join(reversed(words)))[1]
 
 
+def test_sketches_with_clashing_names_and_repeated_ids(spark):
+    d = spark.createDataFrame([(1, [1, 2], "g"), (1, [2, 3], "g"), (2, [2], None), (2, [2], None), (3, [], "h"), (4, None, "h"), (None, [1, 9], "g"), (5, [2, 3, 4, 5], "i")], "id long, s array<long>, __h string")
+    m = {r["__h"]: r.s for r in fingerprints.merge(d, ["__h"], "s").collect()}
+    assert m == {"g": [1, 2, 3, 9], None: [2], "h": [], "i": [2, 3, 4, 5]}
+    for least in (0.0, 0.3, 0.5, 1.0):
+        got = fingerprints.containment(d, d, "id", "id", least, "s")
+        assert got.columns == ["id", "id_right", "shared", "containment"]
+        sets = {1: {1, 2, 3}, 2: {2}, None: {1, 9}, 5: {2, 3, 4, 5}}
+        want = {(a, b, len(x & y), len(x & y) / len(x)) for a, x in sets.items() for b, y in sets.items() if x & y and len(x & y) / len(x) >= least}
+        assert {tuple(r) for r in got.collect()} == want
+    assert fingerprints.containment(d.limit(0), d, "id", "id", 0.5, "s").count() == 0 and fingerprints.containment(d, d.limit(0), "id", "id", 0.5, "s").count() == 0
+    assert fingerprints.merge(d.limit(0), ["__h"], "s").count() == 0
+    assert fingerprints.sketches(spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")).count() == 2
+
+
 def test_containment_of_the_benchmark_in_all_documents(spark):
     """Every pair that shares a hash against sets, over whole tables; what keeps no hash is counted."""
     sf = f"{DATA}/sf0.1"
@@ -278,6 +304,25 @@ def test_mixing(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix(d, weights={"none": 1.0}).count() == 0
 
 
+def test_mixing_of_odd_numbers(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", float("nan")), (3, "a", None), (4, "a", -float("inf"))], "doc_id long, source string, c double")
+    assert [r.doc_id for r in mixing.mix(df, copies_col="c").collect()] == [1, 1]
+    for huge in (float("inf"), 1e18):
+        with pytest.raises(Exception, match="emitted"):
+            mixing.mix(df.withColumn("c", F.lit(huge)), copies_col="c").collect()
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix(df, weights={"a": bad})
+
+
+def test_null_ids_of_a_source_are_several_runs(spark):
+    n = 3 * mixing.RUN
+    df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").alias("x"))
+    got = mixing.mix(df.withColumn("c", F.lit(0.5)), copies_col="c")
+    assert got.count() == n // 2 and got.select("x").distinct().count() == n // 2
+    assert mixing.mix(df).count() == n
+
+
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -342,6 +387,54 @@ def test_chat(spark, hard):
     assert got[None].n_turns == 2 and got[2].n_turns == 3 and chat.chats(c.limit(0)).count() == 0
 
 
+def test_bpe_tokenizers_with_other_rules(spark, tmp_path):
+    """A tokenizer that splits otherwise gets whole texts; one that isn't byte-level is refused."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(bpe.TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    own = f"{tmp_path}/t.json"
+    with open(own, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    said = ["one two, three.\nfour the the", "", "a🙂 b", "x . y"]
+    d = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    t = Tokenizer.from_file(own)
+    got = {r.doc_id: r for r in bpe.encode(d, tokenizer=own).collect()}
+    assert all(got[i].ids == t.encode(x, add_special_tokens=False).ids and got[i].round_trip for i, x in enumerate(said))
+    with pytest.raises(Exception, match="byte-level"):
+        bpe.encode(d, tokenizer=bpe.TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")).collect()
+
+
+def test_decoding_batches_with_and_without_broken_rows(spark):
+    """Rows decode alike whether all of their batch is whole or one row begins or ends within a character."""
+    ids = bpe.encode(spark.createDataFrame([(1, "日本🙂語é"), (2, "plain")], "doc_id long, text string")).orderBy("doc_id").collect()
+    split = next(k for k in range(1, len(ids[0].ids)) if bpe.decoded(bpe.loaded(bpe.TOKENIZER, "table"), np.array(ids[0].ids[:k]))[2])
+    data = [(i, ids[1].ids) for i in range(5)] + [(9, None), (10, [])]
+    make = lambda rows: {r.doc_id: (r.text, r.head, r.tail) for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)).collect()}
+    whole, mixed = make(data), make([*data, (20, ids[0].ids[:split])])
+    assert mixed.pop(20)[2] and whole == mixed and whole[9] == (None, None, None) and whole[10] == ("", b"", b"") and whole[0][0] == "plain"
+
+
+def test_revisits_of_a_hot_url_in_stretches(spark):
+    """A URL's time cut into stretches gives what one window gives; payloads that repeat don't multiply revisits."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot.com/a", "hot.com/a", "b.com"]), rng.choice([rng.randint(0, 300), 77]), rng.choice(["response", "revisit", "revisit"]), f'ETag: "{rng.randint(0, 3)}"') for i in range(600)]
+    rows += [(None, "hot.com/a", 5, "response", 'ETag: "1"'), (700, "hot.com/a", None, "revisit", 'ETag: "1"'), (701, "hot.com/a", None, "response", 'ETag: "1"')]
+    df = spark.createDataFrame(rows, "record_id long, url string, captured_at long, kind string, headers string")
+    want = rows_of = sorted(map(str, warc.resolve(df).collect()))
+    for run in (10, 100):
+        assert sorted(map(str, warc.resolve(df, run=run).collect())) == want
+    timed = df.withColumn("captured_at", F.timestamp_seconds("captured_at"))
+    assert sorted(str(r.source_id) for r in warc.resolve(timed, run=10).collect()) == sorted(str(r.source_id) for r in warc.resolve(df).collect()) and rows_of
+    bodies = spark.createDataFrame([(i, b) for i in range(600) for b in ("x", "y")] + [(None, "z"), (3, None)], "record_id long, html string")
+    full = warc.with_payload(warc.resolve(df), bodies, "record_id", "html")
+    assert full.count() == len(want) and {r.payload for r in full.where("status = 'resolved'").collect()} == {"x"}
+    assert warc.with_payload(warc.resolve(df), bodies.limit(0), "record_id", "html").where("payload is null").count() == len(want)
+
+
 def test_revisits(spark):
     t = [
         (1, "http://www.a.com/x/", 10, "response", 'ETag: "1"\nContent-Length: 5\nDate: 10'), (2, "https://a.com/x", 20, "response", 'ETag: W/"2"\nLast-Modified: m'),

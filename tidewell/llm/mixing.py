@@ -13,6 +13,8 @@ from .common import col, every, load
 
 #: A copy in billionths; rows of a source that one task sums; the exponent that flattens the sources' sizes.
 UNIT, RUN, FLATTEN, SEED = 1_000_000_000, 4_000, 0.7, 42
+#: Copies that one row can't reach.
+MOST = 1_000_000_000
 
 
 def bucket(key: Column, n: Column) -> Column:
@@ -35,6 +37,8 @@ def expected(docs: DataFrame, source: Column, weights: dict[str, float] | None,
     if weights is None:
         share = F.pow(F.col("__n").cast("double"), F.lit(flatten))
     else:
+        if any(not 0 <= float(v) < float("inf") for v in weights.values()):
+            raise ValueError("weights must be finite and not negative")
         share = F.coalesce(*[F.when(F.col("__s") == k, F.lit(float(v))) for k, v in weights.items()], F.lit(0.0))
     sized = sized.withColumn("__share", share)
     sums = sized.agg(F.sum("__n").cast("double").alias("__rows"), F.sum("__share").alias("__shares"))
@@ -50,10 +54,14 @@ def counted(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, fl
     row = docs.select(F.struct(*every(docs)).alias("__row"), col(id_col).cast("long").alias("__id"), col(source_col).alias("__s"))
     plan = expected(docs, col(source_col), weights, total, flatten).withColumnRenamed("__s", "__t")
     if copies_col is not None:
-        own = F.rint(F.greatest(F.coalesce(F.col("__row").getField(copies_col).cast("double"), F.lit(0.0)), F.lit(0.0)) * UNIT)
+        asked = F.nanvl(F.coalesce(F.col("__row").getField(copies_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+        own = F.when(asked >= MOST, F.raise_error(F.lit(f"no row can be emitted {MOST} times or more"))).otherwise(F.rint(F.greatest(asked, F.lit(0.0)) * UNIT))
         row, plan = row.withColumn("__e", own.cast("long")), plan.drop("__e")
     known = row.join(F.broadcast(plan) if few(docs, source_col) else plan, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
-    known = known.withColumn("__k", bucket(F.col("__id"), F.col("__b")))
+    # a null id comes first of all, but many of them are several runs, by what else the rows hold
+    plain = [F.col("__row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    first = F.when(F.col("__id").isNull(), -1 - F.pmod(F.xxhash64(*plain), F.col("__b"))).otherwise(0)
+    known = known.withColumn("__k", F.struct(bucket(F.col("__id"), F.col("__b")).alias("b"), first.alias("j")))
     # only the fraction of a copy matters of what comes before, so nothing overflows
     runs = known.groupBy("__s", "__k").agg((F.sum("__e") % UNIT).alias("__sum"))
     before = Window.partitionBy("__s").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -73,8 +81,9 @@ def mix(
 
     The target shares are `weights` (a source that it lacks gets 0), or without them the sources' sizes to the power
     `flatten`; `total` is the expected number of rows, by default as many as there are. `copies_col` gives expected
-    copies for each row instead (null or negative: 0). A source is summed in the order of a bucket of the id, then the
+    copies for each row instead (null, NaN or negative: 0; a billion or more: an error). Negative weights are an error. A source is summed in the order of a bucket of the id, then the
     id, nulls first; rows that share an id follow each other. Null is a source like any other. An empty table gives none.
+    Ids are whole numbers or texts of such; any other is an error.
     """
     got = counted(docs, id_col, source_col, weights, total, flatten, seed, copies_col)
     return got.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__n")))).select("__row.*")
