@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -290,6 +291,37 @@ def test_pii_masks_and_offsets(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.redacted(df.limit(0)).count() == 0
 
 
+def test_pii_leaves_nothing_that_patterns_know():
+    """All documents of sf0.1: what simple patterns find before they find nowhere after, and about as much is masked."""
+    import pyarrow.parquet as pq
+
+    patterns = {
+        "EMAIL": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "IP": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "CARD": r"(?<![\d-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])",
+        "PHONE": r"\+\d[\d ()-]{8,}\d|\(\d{3}\) ?\d{3}-\d{4}|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])", "SECRET": r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[a-fA-F])(?=[0-9A-Fa-f]*\d)[0-9A-Fa-f]{24,}(?![0-9A-Za-z])|AKIA[A-Z0-9]{16}",
+    }
+    t = pq.read_table(f"{DATA}/sf0.1/documents.parquet", columns=["text"])["text"].combine_chunks().cast(pa.large_string()).fill_null("")
+    text, where = pii.masked(t, pii.Tagger(pii.standard()))
+    found = {k: sum(x[2] == k for w in where.values() for x in w) for k in pii.KINDS}
+    for kind, p in patterns.items():
+        before = sum(len(re.findall(p, x)) for x in t.to_pylist())
+        assert before > 100 and sum(len(re.findall(p, x.decode())) for x in text.values()) == 0
+        assert sum(len(re.findall(p, x)) for i, x in enumerate(t.to_pylist()) if i not in text) == 0
+        assert found[kind] <= 1.05 * before
+
+
+def test_pii_of_own_examples(spark):
+    names = "sentence long, position long, token string, tag string"
+    d = spark.createDataFrame([(1, "Write to anna.smith@mail.example now"), (2, None)], "doc_id long, text string")
+    assert [r.n_found for r in pii.find(d, examples=spark.createDataFrame([], names)).collect()] == [0, 0]
+    assert rows(pii.redacted(d, examples=spark.createDataFrame([(None, 0, "x", "O"), (1, None, "x", "O"), (1, 1, None, "O")], names))) == rows(d)
+    table = [(s, i, t, y) for s, i, t, y in pii.labelled(60)]
+    twice = spark.createDataFrame(table + table[:200] + [(table[0][0], table[0][1], "zzzz", "ODD"), (9999, 0, "word", None)], names)
+    once = spark.createDataFrame([*table, (9999, 0, "word", "O")], names)
+    one, two = (pii.field_of(x) for x in (once, twice))
+    assert np.array_equal(one.move, two.move) and one.own.keys() == two.own.keys()
+    assert pii.find(d, examples=once).where("doc_id = 1").first().text == "Write to [EMAIL] now"
+
+
 # ---- 5 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -570,6 +602,54 @@ def test_kneser_ney_estimates_add_up():
     assert toxicity.Model(["ab"], np.array([2.0]), np.array([2.0])).ratio(["ab", "xy"]).tolist() == pytest.approx([0, 0])
 
 
+def brute(words, toxic, ordinary, k, context, sign, cls):
+    """P(sign | context), the last k-1 signs before it, by interpolated Kneser-Ney from the words' own n-grams."""
+    if k == 0:
+        signs = {c for w, t, o in zip(words, toxic, ordinary, strict=True) if t + o for c in w + "$"}
+        return 1 / max(64, len(signs))
+    n = [(toxic, ordinary)[cls], toxic + ordinary][k < toxicity.OWN]
+    count = {}
+    for w, times in zip(words, n, strict=True):
+        s = f"^{w}$"
+        for end in range(max(1, k - 1), len(s)):
+            gram, before = s[end - k + 1 : end + 1], s[end - k] if end >= k else None
+            if times:
+                count.setdefault(gram, {})
+                if k == toxicity.ORDER or before is None:
+                    count[gram][None] = count[gram].get(None, 0) + times
+                else:
+                    count[gram][before] = 1
+    total = {g: sum(c.values()) for g, c in count.items()}
+    low = brute(words, toxic, ordinary, k - 1, context[1:], sign, cls) if k > 1 else brute(words, toxic, ordinary, 0, "", sign, cls)
+    once, twice = sum(v == 1 for v in total.values()), sum(v == 2 for v in total.values())
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    here = {g: v for g, v in total.items() if g[:-1] == context[len(context) - k + 1 :]}
+    if not here:
+        return low
+    return (max(here.get(context[len(context) - k + 1 :] + sign, 0) - discount, 0) + discount * len(here) * low) / sum(here.values())
+
+
+def test_kneser_ney_against_brute_force():
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(1, 8))) for _ in range(40)})
+    toxic, ordinary = np.array([rng.choice([0, 0, 1, 2, 5]) for _ in words]), np.array([rng.choice([0, 1, 1, 3]) for _ in words])
+    model = toxicity.Model(words, toxic.astype(float), ordinary.astype(float))
+    said = [*words[:12], "abcabc", "dddd", "zq", "a"]
+    got = model.ratio(said)
+    for w, r in zip(said, got, strict=True):
+        s, want = f"^{w}$", 0.0
+        for end in range(1, len(s)):
+            k = min(toxicity.ORDER, end + 1)
+            want += np.log(brute(words, toxic, ordinary, k, s[end - k + 1 : end], s[end], 0)) - np.log(brute(words, toxic, ordinary, k, s[end - k + 1 : end], s[end], 1))
+        assert r == pytest.approx(want, abs=2e-3), w
+    for context in ("^", "^a", "^ab", "abca", "dcbad", "zzzzz"):
+        k = len(context) + 1
+        for cls in (0, 1):
+            known = sum(brute(words, toxic, ordinary, k, context, c, cls) for c in "abcd$")
+            other = brute(words, toxic, ordinary, k, context, "?", cls)
+            assert known + (64 - 5) * other == pytest.approx(1)
+
+
 ABUSE = r"\b(trash|pathetic|stupid|scum|clown|idiot|worthless|moron|loser|disgusting)\b"
 
 
