@@ -166,6 +166,42 @@ def test_quality_on_labels(spark):
     assert n[1, True] >= 0.98 * (n[1, True] + n.get((1, False), 0)) and n.get((0, False), 0) >= 0.8 * (n.get((0, False), 0) + n.get((0, True), 0))
 
 
+def test_bins_of_odd_texts():
+    import regex
+
+    odd = ["", " ", "\n \n", "a", "a a", " a a", "a a ", "a\na\n\na", "x|y|z||", "ÄÖ äö ß", "a  b b\nb c", "🙂🙂 é!", "\ta\ta", "A" * 5000, None, "b", "b b"]
+    rng = random.Random(12)
+    odd += ["".join(rng.choice("aAb |\n.é#") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for part in (odd, odd[3:9], odd[:1], odd[1:2], []):
+        got = quality.features(pa.array(part, pa.large_string()))
+        for i, t in enumerate(part):
+            t = t or ""
+            n, letters = max(len(t), 1), len(regex.findall(r"\p{L}", t))
+            lines, words = [x for x in t.split("\n") if x], re.split("[ \n]+", t)
+            want = {
+                "symbols": min(12, len(regex.sub(r"[\p{L}\p{N}\s.,;:?'\"()+@/_=-]+", "", t)) * 50 // n), "capitals": min(10, len(regex.findall(r"\p{Lu}", t)) * 10 // max(letters, 1)),
+                "repeats": min(10, (len(lines) - len(set(lines))) * 10 // max(len(lines), 1)), "pipes": min(7, t.count("|") * 100 // n),
+                "stutter": min(10, sum(a == b for a, b in itertools.pairwise(words)) * 10 // len(words)),
+            }
+            assert {k: int(v[i]) for k, v in got.items()} == want, t
+
+
+def test_sparse_sites_against_brute_force(matches, spark, tables):
+    """Sites of one to three documents, null ones too: posteriors and verdicts are those of the SQL, and sparse sites follow
+    their hosts and the whole."""
+    rng = random.Random(13)
+    good, bad = "plain words stand here in a row and say little", "### ||| $$$ BUY BUY BUY ||| ###"
+    docs = [(i, rng.choice([good, bad]) if i >= 60 else good, rng.choice(["p", None]), "big", 0) for i in range(120)]
+    docs += [(200 + i, rng.choice([good, bad, f"{good} ### ||"]), rng.choice(["p", f"q{i}", None]), rng.choice([f"h{i}", f"h{i // 3}", None]), 0) for i in range(60)]
+    labels = [(i, int("#" not in t), 0) for i, t, *_ in docs if i % 3 == 0]
+    sf = tables(documents=spark.createDataFrame(docs, DOC), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    matches(quality.query, quality.SQL, sf)
+    one = {r.doc_id: r for r in quality.query(spark, sf).collect()}
+    assert {r.keep for r in one.values()} == {True, False}
+    alone = [r for r in one.values() if sum(o.source == r.source for o in one.values()) == 1]
+    assert len(alone) > 3 and all(abs(r.quality - 1 / (1 + np.exp(-r.evidence))) < 0.35 for r in alone)
+
+
 def test_quality_on_few_labels(spark):
     """With half of the 399 labels of sf0.01 no good document is rejected, but one half leaves 17 of 34 bad ones in."""
     docs, y = common.load(spark, f"{DATA}/sf0.01", "documents"), common.load(spark, f"{DATA}/sf0.01", "labels")

@@ -7,58 +7,113 @@ one, as strongly as the spread between groups says, and the document itself is l
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import category
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, every, load, settle
+from .common import col, load, settle, slices, texts, tune
 
-#: Bins of the features below; additive smoothing; the posterior below which a document is rejected; a vote's fineness.
+#: Sites that are sent to every executor at most; bins of the features below; additive smoothing; the posterior below which a document is rejected; a vote's fineness.
+FEW = 200_000
 BINS = {"symbols": 13, "capitals": 11, "repeats": 11, "pipes": 8, "stutter": 11}
 SMOOTH, REJECT, VOTE = 1.0, 0.5, 1_000_000
 
 
-def features(text: Column) -> dict[str, Column]:
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """For every code point: 1 a letter, 2 a capital, 4 neither letter, digit, white space nor common punctuation, 8 a bar."""
+    out = np.zeros(0x110000, np.uint8)
+    common = set(" \t\n\x0b\f\r.,;:?'\"()+@/_=-")
+    for i in range(0x110000):
+        c = category(chr(i))
+        out[i] = (c[0] == "L") + 2 * (c == "Lu") + 4 * (c[0] not in "LN" and chr(i) not in common)
+    out[ord("|")] |= 8
+    return out
+
+
+def features(text: pa.Array) -> dict[str, np.ndarray]:
     """Bins in whole numbers: shares of odd symbols, of capitals, of lines that repeat, of table bars, and of words that repeat the one before."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.greatest(F.length(t), F.lit(1))
-    letters = F.regexp_replace(t, r"[^\p{L}]+", "")
-    symbols = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s.,;:?'\"()+@/_=-]+", ""))
-    upper = F.length(F.regexp_replace(letters, r"[^\p{Lu}]+", ""))
-    lines = F.filter(F.split(t, "\n"), lambda w: w != "")
-    count = F.size(lines)
-    words = F.split(t, "[ \n]+")
-    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"))
-    again = F.aggregate(words, start, lambda a, w: F.struct(w.alias("w"), (a.n + F.when(w == a.w, 1).otherwise(0)).alias("n")), lambda a: a.n)
+    t = text.fill_null("")
+    off = np.frombuffer(t.buffers()[1], np.int64, len(t) + 1, t.offset * 8)
+    raw = (t.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[off[0] : off[-1]]
+    kind = kinds()[np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)]
+    ends = np.r_[0, np.cumsum(np.asarray(pc.utf8_length(t)).astype(np.int64))]
+    per = lambda bit: np.diff(np.r_[0, np.cumsum(kind & bit > 0)][ends])
+    n = np.maximum(np.diff(ends), 1)
+
+    def parts(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The text that each part belongs to, its code, and the parts."""
+        at = np.asarray(lists.offsets).astype(np.int64)
+        flat = lists.values.slice(at[0], at[-1] - at[0])
+        return np.repeat(np.arange(len(t)), np.diff(at)), np.asarray(flat.dictionary_encode().indices).astype(np.int64), flat
+
+    doc, code, flat = parts(pc.split_pattern(t, "\n"))
+    some = np.asarray(pc.not_equal(flat, ""))
+    doc, code = doc[some], code[some]
+    lines = np.bincount(doc, minlength=len(t))
+    both = np.sort(doc << 32 | code)
+    different = np.bincount(both[np.r_[True, both[1:] != both[:-1]]] >> 32, minlength=len(t)) if len(both) else lines
+    # runs of blanks and breaks part words; a text of nothing else parts into two empty ones
+    byte, at = np.frombuffer(raw, np.uint8), off - off[0]
+    gap, edge = (byte == 32) | (byte == 10), np.zeros(len(byte) + 1, bool)
+    edge[at] = True
+    own = lambda i: np.searchsorted(at, i, side="right") - 1
+    turn = np.r_[True, gap[1:] != gap[:-1]][: len(byte)] | edge[:-1]  # where a run of either begins
+    words = np.bincount(own(np.flatnonzero(gap & turn)), minlength=len(t)) + 1
+    first, final = np.flatnonzero(~gap & turn), np.flatnonzero(~gap & np.r_[turn[1:], True][: len(byte)]) + 1
+    doc = own(first)
+    inner = np.r_[0, np.cumsum(final - first)].astype(np.int64)
+    code = np.asarray(pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(inner), pa.py_buffer(byte[~gap])).dictionary_encode().indices)
+    again = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (code[1:] == code[:-1])], minlength=len(t))
+    again += (np.diff(at) > 0) & (np.bincount(doc, minlength=len(t)) == 0)
     return {
-        "symbols": F.least(F.lit(12), whole(symbols * 50, n)),
-        "capitals": F.least(F.lit(10), whole(upper * 10, F.greatest(F.length(letters), F.lit(1)))),
-        "repeats": F.least(F.lit(10), whole((count - F.size(F.array_distinct(lines))) * 10, F.greatest(count, F.lit(1)))),
-        "pipes": F.least(F.lit(7), whole((F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))) * 100, n)),
-        "stutter": F.least(F.lit(10), whole(again * 10, F.size(words))),
+        "symbols": np.minimum(12, per(4) * 50 // n),
+        "capitals": np.minimum(10, per(2) * 10 // np.maximum(per(1), 1)),
+        "repeats": np.minimum(10, (lines - different) * 10 // np.maximum(lines, 1)),
+        "pipes": np.minimum(7, per(8) * 100 // n),
+        "stutter": np.minimum(10, again * 10 // np.maximum(words, 1)),
     }
 
 
-def whole(a: Column, b: Column) -> Column:
-    """Integer division of numbers that aren't negative."""
-    a, b = a.cast("long"), b.cast("long")
-    return ((a - a % b) / b).cast("int")
+def binned(docs: DataFrame, text_col: str, keep: bool) -> DataFrame:
+    """docs with the bins of their text, which itself stays only if keep. One pass in Arrow batches; nothing is shuffled.
+
+    Names of columns must be plain, as they are handed to a worker.
+    """
+    tune(docs.sparkSession)
+    names = [c for c in docs.columns if keep or c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col, 4_000_000):
+            bins = [pa.array(x.astype(np.int32)) for x in features(texts(b, text_col)).values()]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in names] + bins, names=[*names, *(f"__{f}" for f in BINS)])
+
+    schema = docs.select(*names).schema
+    for f in BINS:
+        schema = schema.add(f"__{f}", "integer")
+    return docs.mapInArrow(run, schema)
 
 
 def logit(p: Column) -> Column:
     return F.log(p) - F.log(1.0 - p)
 
 
-def train(binned: DataFrame, labels: DataFrame, id_col: str, label_id: str, label_col: str) -> tuple[dict[str, list[float]], float]:
+def train(bins: DataFrame, labels: DataFrame, id_col: str, label_id: str, label_col: str) -> tuple[dict[str, list[float]], float]:
     """Each bin's log-likelihood ratio and the global log-odds, from counts over every labelled row.
 
     What reaches the driver has as many rows as there are bins. Without labels every ratio is 0.
     """
     y = labels.select(col(label_id).cast("long").alias("__id"), col(label_col).cast("int").alias("__y")).where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull())
-    seen = binned.select(F.col("__id"), *BINS).join(y, "__id")
-    long = seen.select("__y", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in BINS])).alias("x"))
+    seen = bins.join(y, "__id")
+    long = seen.select("__y", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"__{f}").alias("b")) for f in BINS])).alias("x"))
     counts = {(r.f, r.b, r.y): r.n for r in long.groupBy(F.col("x.f").alias("f"), F.col("x.b").alias("b"), F.col("__y").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    import math
-
     total = {y: sum(n for (f, _, k), n in counts.items() if k == y and f == "symbols") for y in (0, 1)}
     ratio = {
         f: [math.log((counts.get((f, b, 1), 0) + SMOOTH) / (total[1] + SMOOTH * size)) - math.log((counts.get((f, b, 0), 0) + SMOOTH) / (total[0] + SMOOTH * size)) for b in range(size)]
@@ -69,7 +124,7 @@ def train(binned: DataFrame, labels: DataFrame, id_col: str, label_id: str, labe
 
 def evidence(ratio: dict[str, list[float]]) -> Column:
     """A document's summed log-likelihood ratio, from the bins in the row."""
-    parts = [F.element_at(F.array(*[F.lit(float(x)) for x in ratio[f]]), F.col(f) + 1) for f in BINS]
+    parts = [F.element_at(F.array(*[F.lit(float(x)) for x in ratio[f]]), F.col(f"__{f}") + 1) for f in BINS]
     out = parts[0]
     for p in parts[1:]:
         out = out + p
@@ -117,11 +172,20 @@ def posterior(own: Column, llr: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_id: str, label_col: str):
-    """The bins of every document (written once), the model, and the table of sites."""
-    slim = docs.select(col(id_col).cast("long").alias("__id"), col(host_col).alias("__h"), col(path_col).alias("__p"), *[c.alias(f) for f, c in features(col(text_col).cast("string")).items()])
-    binned = settle(slim)
-    ratio, prior = train(binned, labels, id_col, label_id, label_col)
-    return binned, ratio, sites(binned.select("__h", "__p", vote(ratio, prior).alias("__v"))), prior
+    """The bins of every document (written once), the model, the table of sites, and the global log-odds.
+
+    The sites are sent to every executor if they were counted to be few, else joined.
+    """
+    slim = docs.select(col(id_col).cast("long").alias("__id"), col(host_col).alias("__h"), col(path_col).alias("__p"), col(text_col).cast("string").alias("__text"))
+    bins = settle(binned(slim, "__text", keep=False))
+    ratio, prior = train(bins, labels, id_col, label_id, label_col)
+    table = settle(sites(bins.select("__h", "__p", vote(ratio, prior).alias("__v"))).withColumnsRenamed({"__h": "__th", "__p": "__tp"}))
+    return bins, ratio, F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table, prior
+
+
+def at_home(host: Column, path: Column) -> Column:
+    """A row's own site; a null is a host or path like any other."""
+    return host.eqNullSafe(F.col("__th")) & path.eqNullSafe(F.col("__tp"))
 
 
 def classify(
@@ -134,9 +198,8 @@ def classify(
     null ids are left out; repeated rows each count. Other columns are ignored; an empty table gives none; without any
     labels every document has the global prior of one half and is kept.
     """
-    binned, ratio, table, prior = fit(docs, labels, id_col, text_col, host_col, path_col, label_id, label_col)
-    table = table.withColumnsRenamed({"__h": "__th", "__p": "__tp"})
-    own = binned.join(table, F.col("__h").eqNullSafe(F.col("__th")) & F.col("__p").eqNullSafe(F.col("__tp")))
+    bins, ratio, table, prior = fit(docs, labels, id_col, text_col, host_col, path_col, label_id, label_col)
+    own = bins.join(table, at_home(F.col("__h"), F.col("__p")))
     llr, p = evidence(ratio), posterior(vote(ratio, prior), evidence(ratio))
     return own.select(F.col("__id").alias(id_col), F.col("__h").alias(host_col), F.col("__p").alias(path_col), F.round(llr, 6).alias("evidence"), F.round(p, 6).alias("quality"), (p >= REJECT).alias("keep"))
 
@@ -147,14 +210,13 @@ def accepted(
 ) -> DataFrame:
     """The rows of docs that classify() keeps, all columns as they are.
 
-    Features are computed again beside the text, so no text is shuffled unless the sites are too many to broadcast.
+    A null text counts as empty; repeated rows and null ids are rows of their own; an empty table stays empty. Bins are
+    computed again beside the text, so no text is shuffled unless the sites are too many to broadcast.
     """
     _, ratio, table, prior = fit(docs, labels, id_col, text_col, host_col, path_col, label_id, label_col)
-    table = settle(table.withColumnsRenamed({"__h": "__th", "__p": "__tp"}))
-    few = table.limit(200_001).count() <= 200_000
-    row = docs.select(F.struct(*every(docs)).alias("__row"), col(host_col).alias("__h"), col(path_col).alias("__p"), *[c.alias(f) for f, c in features(col(text_col).cast("string")).items()])
-    own = row.join(F.broadcast(table) if few else table, F.col("__h").eqNullSafe(F.col("__th")) & F.col("__p").eqNullSafe(F.col("__tp")))
-    return own.where(posterior(vote(ratio, prior), evidence(ratio)) >= REJECT).select("__row.*")
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own = binned(docs.toDF(*plain.values()), plain[text_col], keep=True).join(table, at_home(F.col(plain[host_col]), F.col(plain[path_col])))
+    return own.where(posterior(vote(ratio, prior), evidence(ratio)) >= REJECT).select(*plain.values()).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
