@@ -65,6 +65,15 @@ def test_pairs_against_brute_force(spark, threshold):
     assert got == want
 
 
+def test_crowded_prefixes_are_settled_together(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["train", "valid"]), f"i{k}", f"h{k}", rng.choice([0, 1 << 60]) | sum(1 << b for b in rng.sample(range(16), rng.randint(0, 4))), 1, 0) for k in range(150)]
+    t = table(spark, rows)
+    for across in (False, True):
+        want, got = (sorted(map(str, dedup.clusters(t, across=across, alone=n).collect())) for n in (10**6, 3))
+        assert want == got and len(want) > 10
+
+
 def test_threshold_is_checked(spark):
     d = spark.createDataFrame([("*", 1)], "scope string, dhash long")
     with pytest.raises(ValueError):

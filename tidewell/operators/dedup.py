@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hamming, prefix
+from ..sources.scratch import settle
+from .graph import components, union_find
 
 THRESHOLD = 5
+#: Edges of one prefix that a task settles by itself; beyond them they are settled in rounds over all executors.
+ALONE = 1_000_000
 
 
 def scoped(images: DataFrame, across: bool) -> DataFrame:
@@ -62,33 +66,26 @@ def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return met.select("scope", "a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).distinct()
 
 
-def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values in any edge, and the smallest value each is connected with."""
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(values))
-    while True:  # hook the larger root to the smaller, then flatten, until all edges agree
-        lo, hi = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-        if (lo == hi).all():
-            return values, values[root]
-        np.minimum.at(root, hi, lo)
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-
-
 def _components(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     values, root = union_find(pdf["a"].to_numpy(np.int64), pdf["b"].to_numpy(np.int64))
     return pd.DataFrame({"scope": key[0], "dhash": values, "cluster": root})
 
 
-def clusters(images: DataFrame, threshold: int = THRESHOLD, across: bool = False) -> DataFrame:
+def clusters(images: DataFrame, threshold: int = THRESHOLD, across: bool = False, alone: int = ALONE) -> DataFrame:
     """(scope, dhash, cluster, size, keep) for every hash whose cluster has more than one image.
 
-    Clusters are connected within scope and prefix; edges never leave a prefix, so each is settled by itself.
+    Clusters are connected within scope and prefix; edges never leave a prefix, so each is settled by itself, one of more
+    than `alone` edges by all executors together.
     """
     h = hashes(images, across)
-    edges = near_pairs(h.select("scope", "dhash"), threshold)
-    linked = edges.groupBy("scope", prefix(F.col("a")).alias("p")).applyInPandas(_components, "scope string, dhash long, cluster long")
+    edges = settle(near_pairs(h.select("scope", "dhash"), threshold).withColumn("p", prefix(F.col("a"))))
+    crowd = edges.groupBy("scope", "p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > alone).select("scope", "p")
+    few = edges.join(crowd, ["scope", "p"], "left_anti")
+    linked = few.groupBy("scope", "p").applyInPandas(_components, "scope string, dhash long, cluster long")
+    if crowd.limit(1).count():
+        many = edges.join(crowd, ["scope", "p"], "left_semi")
+        at = components(many.select(F.struct("scope", F.col("a").alias("h")).alias("a"), F.struct("scope", F.col("b").alias("h")).alias("b")))
+        linked = linked.unionByName(at.select(F.col("id.scope").alias("scope"), F.col("id.h").alias("dhash"), F.col("group.h").alias("cluster")))
     all_h = h.join(linked, ["scope", "dhash"], "left").withColumn("cluster", F.coalesce("cluster", "dhash"))
     g = all_h.groupBy("scope", "cluster").agg(F.sum("n").alias("size"), F.min("best").alias("best")).where("size > 1")
     return all_h.select("scope", "dhash", "cluster").join(g, ["scope", "cluster"]).select("scope", "dhash", "cluster", "size", F.col("best.image").alias("keep"))

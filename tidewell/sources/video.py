@@ -5,14 +5,16 @@ from __future__ import annotations
 import importlib.util
 import logging
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import frame_name
+from .scratch import run_dir
 
 
 def jpeg_frames(content: bytes) -> Iterator[bytes]:
@@ -26,14 +28,15 @@ def jpeg_frames(content: bytes) -> Iterator[bytes]:
         at = content.find(b"\xff\xd8\xff", end + 2)
 
 
-def opencv_frames(content: bytes) -> Iterator[bytes]:
-    """Every frame of a video that OpenCV reads, as JPEG."""
+def opencv_frames(content: bytes, folder: str) -> Iterator[bytes]:
+    """Every frame of a video that OpenCV reads, as JPEG. It only opens files, so the video is one in the folder meanwhile."""
     import cv2
 
-    with tempfile.NamedTemporaryFile(suffix=".video") as f:  # OpenCV only opens files; nothing outlives this call
-        f.write(content)
-        f.flush()
-        video = cv2.VideoCapture(f.name)
+    path = os.path.join(folder, f"{uuid.uuid4().hex}.video")
+    try:
+        with open(path, "wb") as f:
+            f.write(content)
+        video = cv2.VideoCapture(path)
         try:
             if not video.isOpened():
                 raise ValueError("OpenCV can't open it")
@@ -44,12 +47,15 @@ def opencv_frames(content: bytes) -> Iterator[bytes]:
                 yield cv2.imencode(".jpg", frame)[1].tobytes()
         finally:
             video.release()
+    finally:
+        if os.path.exists(path):
+            os.remove(path)
 
 
-def decode(content: bytes) -> Iterator[bytes]:
+def decode(content: bytes, folder: str) -> Iterator[bytes]:
     """The frames of a video: by OpenCV where it is installed, else of motion JPEG alone; ValueError for what isn't read."""
     if importlib.util.find_spec("cv2"):
-        yield from opencv_frames(content)
+        yield from opencv_frames(content, folder)
         return
     n = 0
     for n, data in enumerate(jpeg_frames(content), 1):
@@ -58,17 +64,19 @@ def decode(content: bytes) -> Iterator[bytes]:
         raise ValueError("no motion JPEG, and OpenCV isn't installed")
 
 
-def frames(videos: DataFrame, decoder: Callable[[bytes], Iterator[bytes]] = decode, strict: bool = False) -> DataFrame:
+def frames(videos: DataFrame, decoder: Callable[[bytes], Iterator[bytes]] | None = None, strict: bool = False) -> DataFrame:
     """(path, frame_no, name, content) of every frame of videos (path, content), numbered from 0.
 
-    What can't be read has no frames and is logged, or with strict fails.
+    What can't be read has no frames and is logged, or with strict fails. By default decode() reads them, with a folder
+    that all executors share.
     """
+    own = decoder or partial(decode, folder=run_dir(videos.sparkSession).removeprefix("file://"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    for i, data in enumerate(decoder(bytes(content or b""))):
+                    for i, data in enumerate(own(bytes(content or b""))):
                         yield pd.DataFrame({"path": [path], "frame_no": [i], "content": [data]})
                 except Exception as e:
                     if strict:
