@@ -12,6 +12,7 @@ from conftest import DATA, rows
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, chat, common, fingerprints, mixing, neighbours, pii, quality, registry, simhash, toxicity, warc
+from tidewell.operators import graph
 
 SMALL = f"{DATA}/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -567,7 +568,7 @@ def test_bit_sliced_links_against_every_pair():
     assert all(bucket[i] == bucket[j] and (num[i] ^ num[j]).bit_count() <= simhash.RADIUS for i, j in zip(a, b, strict=True))
     narrow = {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True) if bucket[i] > 0}
     assert narrow == {(i, j) for i in range(1500) for j in range(i + 1, 1500) if bucket[i] == bucket[j] > 0 and (num[i] ^ num[j]).bit_count() <= simhash.RADIUS}
-    from tidewell.operators.dedup import union_find
+    from tidewell.operators.graph import union_find
 
     wide = [(i, j) for i in range(1500) for j in range(i + 1, 1500) if bucket[i] == bucket[j] == 0 and (num[i] ^ num[j]).bit_count() <= simhash.RADIUS]
     some = bucket[a] == 0
@@ -608,7 +609,7 @@ def test_hot_buckets_are_split_without_losing_links(spark):
     _, first = np.unique(fp, axis=0, return_index=True)
     df = spark.createDataFrame([(int(i), bytearray(fp[i])) for i in np.sort(first)], "id long, fp binary")
     whole, parts = simhash.links(df), simhash.links(df, split=40)
-    groups = lambda e: sorted(tuple(r) for r in simhash.components(e).collect())
+    groups = lambda e: sorted(tuple(r) for r in graph.components(e).collect())
     assert groups(whole) == groups(parts) != []
     assert whole.count() <= 4 * 48 * len(first)
 

@@ -48,7 +48,8 @@ def chats(messages: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     Messages stand in the order of turn, then role, then text, nulls first; each is <|im_start|>role, a line break, the
     content and <|im_end|> with a line break. loss_spans lists the byte ranges of the assistant's contents as start-end,
     with commas. A null role reads unknown, a null text is empty, "<|im_" inside a role or content becomes "< |im_".
-    Repeated rows stay; rows with a null id form one conversation with a null id; other columns are ignored.
+    Repeated rows stay; rows with a null id form one conversation with a null id; other columns are ignored; an empty table
+    gives none. Ids and turns are whole numbers or texts of such; any other is an error.
     """
     tune(messages.sparkSession)
     slim = messages.select(

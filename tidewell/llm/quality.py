@@ -195,7 +195,7 @@ def classify(
     """(id, host, path, evidence, quality, keep) for every row: the likelihood ratio, the posterior, and whether to keep it.
 
     A null text counts as empty; null hosts and paths are sites of their own; labels other than 0 and 1 and those with
-    null ids are left out; repeated rows each count. Other columns are ignored; an empty table gives none; without any
+    null ids are left out; repeated rows each count. Ids are whole numbers or texts of such. Other columns are ignored; an empty table gives none; without any
     labels every document has the global prior of one half and is kept.
     """
     bins, ratio, table, prior = fit(docs, labels, id_col, text_col, host_col, path_col, label_id, label_col)

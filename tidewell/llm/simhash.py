@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import union_find
+from ..operators.graph import components, union_find
 from .common import coded, col, digests, every, load, settle, slices, texts, tune, word_lists
 
 #: Bits of a fingerprint; the most that near-duplicates may differ in; tables of sampled bits, and bits of a key, at least.
@@ -381,29 +381,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, tables: int | None = None,
     return met_rows.mapInArrow(search, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, group): every vertex of the edges (a < b) with the smallest id of its connected component.
-
-    Large-star and small-star rounds until nothing changes; each round's edges are written to the shared folder.
-    """
-    e = settle(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    before = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # large star: every larger neighbour is linked to the smallest of u and its neighbours
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(near, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour and u itself are linked to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
-        before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
 def copies(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, kept_id) for every id with a fingerprint that isn't its group's smallest; printed has (id, fp)."""
     one = settle(printed.groupBy("fp").agg(F.min("id").alias("id")))
@@ -419,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Groups are connected: copies of copies belong together. Texts are compared as sets of lower-cased words; texts without
     words are copies only if they are equal. Rows with a null id or text are nobody's copies. Rows that share an id are one
     document, which goes if any of its texts is a copy of a smaller id's. Other columns are ignored, an empty table gives
-    no rows.
+    no rows. Ids are whole numbers or texts of such; any other is an error.
     """
     return copies(settle(fingerprints(docs, id_col, text_col)), radius)
 

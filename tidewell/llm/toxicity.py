@@ -292,7 +292,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     WORDS most toxic distinct words; toxic whether passage or words passes its threshold, the latter one by language where
     FEW toxic documents allow it. Null texts and texts without words have null scores and aren't toxic, as has every row if
     a class has no labelled texts. An id with several labels counts as toxic if any says so; other labels than 0 and 1 and
-    null ids are left out. Repeated rows give rows of their own; other columns are ignored; an empty table gives none.
+    null ids are left out. Repeated rows give rows of their own; other columns are ignored; an empty table gives none. Ids
+    are whole numbers or texts of such; any other is an error.
     """
     tune(docs.sparkSession)
     got = fit(docs, labels, id_col, text_col, lang_col, label_id, label_col, per_class)

@@ -66,7 +66,7 @@ def resolve(records: DataFrame, run: int = RUN) -> DataFrame:
     they differ, unverified if they can't be compared, missing without an earlier response. headers are merged if
     resolved, else the revisit's own. A revisit with a null URL or time is missing, such responses resolve nothing;
     repeated rows give rows of their own, other kinds and columns are ignored, and so are responses without a record_id.
-    captured_at is a number, a date or a time. An empty table gives none. A URL of more than `run` captures is worked on
+    captured_at is a number, a date or a time, ids are whole numbers. An empty table gives none. A URL of more than `run` captures is worked on
     in stretches of its time, each a task of its own.
     """
     r = records.select(
