@@ -60,8 +60,7 @@ def counted(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, fl
     known = row.join(F.broadcast(plan) if few(docs, source_col) else plan, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
     # a null id comes first of all, but many of them are several runs, by what else the rows hold
     plain = [F.col("__row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    first = F.when(F.col("__id").isNull(), -1 - F.pmod(F.xxhash64(*plain), F.col("__b"))).otherwise(0)
-    known = known.withColumn("__k", F.struct(bucket(F.col("__id"), F.col("__b")).alias("b"), first.alias("j")))
+    known = known.withColumn("__k", F.when(F.col("__id").isNull(), -1 - F.pmod(F.xxhash64(*plain), F.col("__b"))).otherwise(bucket(F.col("__id"), F.col("__b"))))
     # only the fraction of a copy matters of what comes before, so nothing overflows
     runs = known.groupBy("__s", "__k").agg((F.sum("__e") % UNIT).alias("__sum"))
     before = Window.partitionBy("__s").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
