@@ -61,13 +61,15 @@ def counted(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, fl
     # a null id comes first of all, but many of them are several runs, by what else the rows hold
     plain = [F.col("__row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     known = known.withColumn("__k", F.when(F.col("__id").isNull(), -1 - F.pmod(F.xxhash64(*plain), F.col("__b"))).otherwise(bucket(F.col("__id"), F.col("__b"))))
+    # a source under a name that is never null, so that the sums are joined where the windows have put the rows
+    known = known.withColumn("__g", F.concat(F.when(F.col("__s").isNull(), "0").otherwise("1"), F.coalesce(F.col("__s").cast("string"), F.lit(""))))
     # only the fraction of a copy matters of what comes before, so nothing overflows
-    runs = known.groupBy("__s", "__k").agg((F.sum("__e") % UNIT).alias("__sum"))
-    before = Window.partitionBy("__s").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = runs.select(F.col("__s").alias("__t"), F.col("__k").alias("__j"), ((F.sum("__sum").over(before) - F.col("__sum")) % UNIT).alias("__base"))
-    within = Window.partitionBy("__s", "__k").orderBy("__id", "__e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = known.groupBy("__g", "__k").agg((F.sum("__e") % UNIT).alias("__sum"))
+    before = Window.partitionBy("__g").orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.select(F.col("__g").alias("__t"), F.col("__k").alias("__j"), ((F.sum("__sum").over(before) - F.col("__sum")) % UNIT).alias("__base"))
+    within = Window.partitionBy("__g", "__k").orderBy("__id", "__e").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = known.withColumn("__here", F.sum("__e").over(within))
-    summed = summed.join(runs, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__k") == F.col("__j")))
+    summed = summed.join(runs, (F.col("__g") == F.col("__t")) & (F.col("__k") == F.col("__j")))
     summed = summed.withColumn("__end", F.col("__base") + F.col("__here") + offset(F.col("__s"), seed))
     return summed.select("__row", F.expr(f"__end div {UNIT} - (__end - __e) div {UNIT}").cast("int").alias("__n"))
 
