@@ -11,11 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import col, load, slices, texts, tune
+from .common import col, lean, load, slices, texts, tune
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text that are encoded at once; distinct pieces of text whose ids a worker remembers.
-BATCH, REMEMBERED = 2_000_000, 200_000
+BATCH, REMEMBERED = 1_000_000, 200_000
 #: Bytes that can't begin white space.
 SOLID = np.zeros(256, bool)
 SOLID[[*range(0x21, 0x7F), *range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
@@ -154,6 +154,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", whole), ("starts", whole), ("ends", whole), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         encoder = Encoder(tokenizer)
         table = encoder.table
         for b in slices(batches, "text", BATCH):

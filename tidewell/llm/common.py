@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -44,6 +45,15 @@ def tune(spark: SparkSession) -> None:
                 raise
 
 
+def lean() -> None:
+    """Give back memory that a worker's earlier tasks freed but still hold, as far as the system lets it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A column as one array of strings with 64-bit offsets."""
     a = batch.column(batch.schema.get_field_index(name))
